@@ -118,3 +118,341 @@ def lineage_drift(spark, sf_dir):
     lots = fx.lot_master(spark, sf_dir, drift=True)
     raws = fx.raw_events(spark, sf_dir, drift=True)
     return lin.lineage_drift(lin.positional_lineage(log, lots, raws), lin.key_lineage(log, lots, raws))
+
+
+# ---------------------------------------------------------------------------
+# Repository and SQL set (A-1..A-5, U-2, L-1..L-3, F-1..F-3, W-4, J-6, K-7, K-8, V-24)
+# ---------------------------------------------------------------------------
+from fablake.operators import repository as repo  # noqa: E402
+from fablake.operators.ranking import latest_per_key  # noqa: E402
+
+LOT_COLS = ["id", "lot_id", "recipe_id", "equipment_id", "wafer_count", "event_type", "event_timestamp", "created_at"]
+RAW_COLS = ["id", "source", "event_type", "s3_key", "created_at"]
+
+
+@register(
+    "table_counts",
+    orc.with_fixtures(
+        """
+SELECT 'mdm.lot_master' AS table_name, COUNT(*) AS record_count FROM lot_master
+UNION ALL
+SELECT 'metadata.raw_events' AS table_name, COUNT(*) AS record_count FROM raw_events"""
+    ),
+)
+def table_counts(spark, sf_dir):
+    lots = fx.lot_master(spark, sf_dir).agg(F.count(F.lit(1)).alias("record_count"))
+    raws = fx.raw_events(spark, sf_dir).agg(F.count(F.lit(1)).alias("record_count"))
+    return lots.select(F.lit("mdm.lot_master").alias("table_name"), "record_count").unionByName(
+        raws.select(F.lit("metadata.raw_events").alias("table_name"), "record_count")
+    )
+
+
+@register(
+    "source_counts",
+    orc.with_fixtures("SELECT source, COUNT(*) AS record_count FROM raw_events GROUP BY source ORDER BY source"),
+)
+def source_counts(spark, sf_dir):
+    return repo.count_by(fx.raw_events(spark, sf_dir), "source").orderBy("source")
+
+
+@register(
+    "source_count_filtered",
+    orc.with_fixtures(
+        """
+SELECT source, COUNT(*) AS total_count,
+       count_if(status = 'SUCCESS') AS success_count,
+       count_if(status = 'FAILED') AS failed_count
+FROM ingestion_log GROUP BY source"""
+    ),
+)
+def source_count_filtered(spark, sf_dir):
+    return (
+        fx.ingestion_log(spark, sf_dir)
+        .groupBy("source")
+        .agg(
+            F.count(F.lit(1)).alias("total_count"),
+            F.count_if(F.col("status") == "SUCCESS").alias("success_count"),
+            F.count_if(F.col("status") == "FAILED").alias("failed_count"),
+        )
+    )
+
+
+@register(
+    "prefix_counts",
+    orc.with_fixtures(
+        r"""
+SELECT regexp_extract(s3_key, '^(.*)/[0-9]{4}/[0-9]{2}/[0-9]{2}/[^/]*$', 1) AS prefix,
+       COUNT(*) AS object_count,
+       COUNT(DISTINCT regexp_extract(s3_key, '/([0-9]{4}/[0-9]{2}/[0-9]{2})/[^/]*$', 1)) AS day_count
+FROM raw_events GROUP BY 1"""
+    ),
+)
+def prefix_counts(spark, sf_dir):
+    raws = fx.raw_events(spark, sf_dir)
+    return raws.groupBy(
+        F.regexp_extract("s3_key", r"^(.*)/[0-9]{4}/[0-9]{2}/[0-9]{2}/[^/]*$", 1).alias("prefix")
+    ).agg(
+        F.count(F.lit(1)).alias("object_count"),
+        F.countDistinct(F.regexp_extract("s3_key", r"/([0-9]{4}/[0-9]{2}/[0-9]{2})/[^/]*$", 1)).alias("day_count"),
+    )
+
+
+@register(
+    "stream_counts",
+    orc.with_fixtures(
+        "SELECT stream, COUNT(*) AS record_count FROM ingestion_log WHERE status = 'SUCCESS' GROUP BY stream"
+    ),
+)
+def stream_counts(spark, sf_dir):
+    log = fx.ingestion_log(spark, sf_dir).filter(F.col("status") == "SUCCESS")
+    return repo.count_by(log, "stream")
+
+
+@register(
+    "page_raw_events",
+    orc.with_fixtures(
+        "SELECT id, source, event_type, s3_key, created_at FROM raw_events "
+        "ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET 100"
+    ),
+)
+def page_raw_events(spark, sf_dir):
+    return repo.page(fx.raw_events(spark, sf_dir).select(*RAW_COLS), limit=100, offset=100)
+
+
+@register(
+    "latest_lots",
+    orc.with_fixtures(
+        "SELECT id, lot_id, recipe_id, equipment_id, wafer_count, event_type, event_timestamp, created_at "
+        "FROM lot_master ORDER BY created_at DESC, id DESC LIMIT 20"
+    ),
+)
+def latest_lots(spark, sf_dir):
+    return repo.page(fx.lot_master(spark, sf_dir).select(*LOT_COLS), limit=20)
+
+
+@register(
+    "latest_raw_events",
+    orc.with_fixtures(
+        "SELECT id, source, event_type, s3_key, created_at FROM raw_events ORDER BY created_at DESC, id DESC LIMIT 20"
+    ),
+)
+def latest_raw_events(spark, sf_dir):
+    return repo.page(fx.raw_events(spark, sf_dir).select(*RAW_COLS), limit=20)
+
+
+@register(
+    "latest_by_source",
+    orc.with_fixtures(
+        "SELECT id, source, event_type, payload, s3_key, created_at FROM raw_events WHERE source = 'erp' "
+        "ORDER BY created_at DESC, id DESC LIMIT 100"
+    ),
+)
+def latest_by_source(spark, sf_dir):
+    return repo.newest_of_source(fx.raw_events(spark, sf_dir), "erp", 100)
+
+
+@register(
+    "latest_per_lot",
+    orc.with_fixtures(
+        """
+SELECT id, lot_id, recipe_id, equipment_id, wafer_count, temperature, event_type, event_timestamp, created_at, request_id
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY lot_id ORDER BY created_at DESC, id DESC) AS k FROM lot_master)
+WHERE k = 1"""
+    ),
+)
+def latest_per_lot(spark, sf_dir):
+    return latest_per_key(fx.lot_master(spark, sf_dir), ["lot_id"], ["created_at", "id"])
+
+
+@register(
+    "by_id",
+    orc.with_fixtures(
+        """
+SELECT l.id, l.status, m.lot_id, m.wafer_count, m.created_at
+FROM ingestion_log l LEFT JOIN lot_master m ON m.id = l.id"""
+    ),
+)
+def by_id(spark, sf_dir):
+    keys = fx.ingestion_log(spark, sf_dir).select("id", "status")
+    lots = fx.lot_master(spark, sf_dir).select("id", "lot_id", "wafer_count", "created_at")
+    return repo.lookup_by_keys(lots, keys, "id", "left")
+
+
+@register(
+    "by_request",
+    orc.with_fixtures(
+        """
+SELECT * FROM ingestion_log l
+WHERE EXISTS (SELECT 1 FROM lot_master_drift m WHERE m.request_id = l.request_id)"""
+    ),
+)
+def by_request(spark, sf_dir):
+    keys = fx.lot_master(spark, sf_dir, drift=True).select("request_id")
+    return fx.ingestion_log(spark, sf_dir).join(keys, "request_id", "left_semi")
+
+
+@register(
+    "request_evidence",
+    orc.with_fixtures(
+        """
+latest_log AS (
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY created_at DESC, id DESC) AS k
+                 FROM ingestion_log) WHERE k = 1),
+newest_lot AS (
+  SELECT lot_id, id AS record_id, event_type FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY lot_id ORDER BY created_at DESC, id DESC) AS k FROM lot_master)
+  WHERE k = 1),
+newest_raw AS (
+  SELECT source, id AS record_id, event_type FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY created_at DESC, id DESC) AS k FROM raw_events)
+  WHERE k = 1)
+SELECT l.request_id, l.source, l.status AS audit_status, l.duration_ms,
+       'mdm.lot_master' AS curated_table, n.record_id, n.event_type AS curated_event_type
+FROM latest_log l LEFT JOIN lot_master m ON m.request_id = l.request_id
+LEFT JOIN newest_lot n ON n.lot_id = m.lot_id
+WHERE l.status = 'SUCCESS' AND l.source = 'mes'
+UNION ALL
+SELECT l.request_id, l.source, l.status, l.duration_ms, 'metadata.raw_events', r.record_id, r.event_type
+FROM latest_log l LEFT JOIN newest_raw r ON r.source = l.source
+WHERE l.status = 'SUCCESS' AND l.source <> 'mes'"""
+    ),
+)
+def request_evidence(spark, sf_dir):
+    log = latest_per_key(fx.ingestion_log(spark, sf_dir), ["request_id"], ["created_at", "id"]).filter(
+        F.col("status") == "SUCCESS"
+    )
+    lots = fx.lot_master(spark, sf_dir)
+    newest_lot = latest_per_key(lots, ["lot_id"], ["created_at", "id"]).select(
+        "lot_id", F.col("id").alias("record_id"), F.col("event_type").alias("curated_event_type")
+    )
+    # one row per source: bounded by the registry, safe to broadcast
+    newest_raw = latest_per_key(fx.raw_events(spark, sf_dir), ["source"], ["created_at", "id"]).select(
+        "source", F.col("id").alias("record_id"), F.col("event_type").alias("curated_event_type")
+    )
+    base = log.select("request_id", "source", F.col("status").alias("audit_status"), "duration_ms")
+    mes = (
+        base.filter(F.col("source") == "mes")
+        .join(lots.select("request_id", "lot_id"), "request_id", "left")
+        .join(newest_lot, "lot_id", "left")
+        .select("request_id", "source", "audit_status", "duration_ms",
+                F.lit("mdm.lot_master").alias("curated_table"), "record_id", "curated_event_type")
+    )
+    other = (
+        base.filter(F.col("source") != "mes")
+        .join(F.broadcast(newest_raw), "source", "left")
+        .select("request_id", "source", "audit_status", "duration_ms",
+                F.lit("metadata.raw_events").alias("curated_table"), "record_id", "curated_event_type")
+    )
+    return mes.unionByName(other)
+
+
+def _lot_changes(spark, sf_dir):
+    full = fx.lot_master(spark, sf_dir)
+    inserts = full.filter(F.col("id") % fx.DRIFT_EVERY == 0)
+    updates = full.filter(F.col("id") % 7 == 0).withColumn("temperature", F.col("temperature") + F.lit(1000.0))
+    return inserts.unionByName(updates)
+
+
+@register(
+    "upsert_lots",
+    orc.with_fixtures(
+        """
+changes AS (
+  SELECT * FROM lot_master WHERE id % 97 = 0
+  UNION ALL
+  SELECT id, lot_id, recipe_id, equipment_id, wafer_count, temperature + 1000.0, event_type,
+         event_timestamp, created_at, request_id FROM lot_master WHERE id % 7 = 0),
+latest_change AS (
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY temperature DESC) AS k FROM changes)
+  WHERE k = 1)
+SELECT id, lot_id, recipe_id, equipment_id, wafer_count, temperature, event_type, event_timestamp, created_at, request_id
+FROM latest_change
+UNION ALL
+SELECT * FROM lot_master_drift b WHERE NOT EXISTS (SELECT 1 FROM latest_change c WHERE c.id = b.id)"""
+    ),
+)
+def upsert_lots(spark, sf_dir):
+    """K-4 append + K-7 upsert. Changes are applied in arrival order (later wins)."""
+    base = fx.lot_master(spark, sf_dir, drift=True)
+    full = fx.lot_master(spark, sf_dir)
+    inserts = full.filter(F.col("id") % fx.DRIFT_EVERY == 0).withColumn("_seq", F.lit(1))
+    updates = (
+        full.filter(F.col("id") % 7 == 0)
+        .withColumn("temperature", F.col("temperature") + F.lit(1000.0))
+        .withColumn("_seq", F.lit(2))
+    )
+    b = base.withColumn("_seq", F.lit(0))
+    merged = latest_per_key(b.unionByName(inserts).unionByName(updates), ["id"], ["_seq"])
+    return merged.drop("_seq")
+
+
+@register(
+    "delete_returning",
+    orc.with_fixtures(
+        "SELECT * FROM raw_events WHERE source = 'plm' AND created_at < TIMESTAMP '2024-01-15 00:00:00'"
+    ),
+)
+def delete_returning(spark, sf_dir):
+    raws = fx.raw_events(spark, sf_dir)
+    doomed = raws.filter((F.col("source") == "plm") & (F.col("created_at") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")))
+    _kept, deleted = repo.delete_returning(raws, doomed.select("id"))
+    return deleted
+
+
+@register(
+    "delete_kept",
+    orc.with_fixtures(
+        "SELECT source, COUNT(*) AS record_count FROM raw_events "
+        "WHERE NOT (source = 'plm' AND created_at < TIMESTAMP '2024-01-15 00:00:00') GROUP BY source"
+    ),
+)
+def delete_kept(spark, sf_dir):
+    raws = fx.raw_events(spark, sf_dir)
+    doomed = raws.filter((F.col("source") == "plm") & (F.col("created_at") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")))
+    kept, _deleted = repo.delete_returning(raws, doomed.select("id"))
+    return repo.count_by(kept, "source")
+
+
+# FIXED VALUES: NOT NULL columns and VARCHAR lengths of the curated-layer DDL
+LOG_RULES = (["id", "request_id", "source", "status", "created_at"],
+             {"request_id": 64, "source": 64, "stream": 64, "status": 32, "error_message": 2048})
+LOT_RULES = (["id", "lot_id", "recipe_id", "equipment_id", "wafer_count", "event_type", "event_timestamp", "created_at"],
+             {"lot_id": 64, "recipe_id": 64, "equipment_id": 64, "event_type": 64})
+RAW_RULES = (["id", "source", "payload", "created_at"], {"source": 64, "event_type": 64, "s3_key": 512})
+
+
+def _constraint_sql(table: str, rules) -> str:
+    nn, lens = rules
+    parts = [
+        f"SELECT '{table}' AS table_name, 'not_null' AS rule, '{c}' AS column_name, "
+        f"CAST(count_if({c} IS NULL) AS BIGINT) AS violations FROM {table}"
+        for c in nn
+    ]
+    parts += [
+        f"SELECT '{table}', 'max_length_{n}', '{c}', CAST(count_if(length(CAST({c} AS VARCHAR)) > {n}) AS BIGINT) FROM {table}"
+        for c, n in lens.items()
+    ]
+    parts.append(
+        f"SELECT '{table}', 'unique', 'id', CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) "
+        f"FROM (SELECT id, COUNT(*) AS n FROM {table} GROUP BY id)"
+    )
+    return "\nUNION ALL\n".join(parts)
+
+
+@register(
+    "table_constraints",
+    orc.with_fixtures(
+        "\nUNION ALL\n".join(
+            [
+                _constraint_sql("ingestion_log", LOG_RULES),
+                _constraint_sql("lot_master", LOT_RULES),
+                _constraint_sql("raw_events", RAW_RULES),
+            ]
+        )
+    ),
+)
+def table_constraints(spark, sf_dir):
+    a = repo.constraint_violations(fx.ingestion_log(spark, sf_dir), "ingestion_log", *LOG_RULES)
+    b = repo.constraint_violations(fx.lot_master(spark, sf_dir), "lot_master", *LOT_RULES)
+    c = repo.constraint_violations(fx.raw_events(spark, sf_dir), "raw_events", *RAW_RULES)
+    return a.unionByName(b).unionByName(c)
