@@ -346,13 +346,6 @@ def request_evidence(spark, sf_dir):
     return mes.unionByName(other)
 
 
-def _lot_changes(spark, sf_dir):
-    full = fx.lot_master(spark, sf_dir)
-    inserts = full.filter(F.col("id") % fx.DRIFT_EVERY == 0)
-    updates = full.filter(F.col("id") % 7 == 0).withColumn("temperature", F.col("temperature") + F.lit(1000.0))
-    return inserts.unionByName(updates)
-
-
 @register(
     "upsert_lots",
     orc.with_fixtures(
@@ -456,3 +449,181 @@ def table_constraints(spark, sf_dir):
     b = repo.constraint_violations(fx.lot_master(spark, sf_dir), "lot_master", *LOT_RULES)
     c = repo.constraint_violations(fx.raw_events(spark, sf_dir), "raw_events", *RAW_RULES)
     return a.unionByName(b).unionByName(c)
+
+
+# ---------------------------------------------------------------------------
+# Validation (V-1..V-19, V-22, V-23, K-10, B4, B8)
+# ---------------------------------------------------------------------------
+from fablake.operators import validate as val  # noqa: E402
+from fablake.plans import payloads as pl  # noqa: E402
+from fablake.registry import load_registry, load_rule  # noqa: E402
+
+
+def _validated(df: DataFrame, rule) -> DataFrame:
+    parsed = df.withColumn("payload", val.parse_payload(F.col("payload_text")))
+    return val.validate(parsed, rule).withColumn("errors", val.errors_as_text())
+
+
+MES_EXPECTED = """CASE l_partkey % 11 WHEN 0 THEN '<root>:required(lotId)' WHEN 1 THEN 'waferCount:type'
+  WHEN 2 THEN 'waferCount:minimum' WHEN 3 THEN 'eventType:enum' WHEN 4 THEN '<root>:additionalProperties'
+  WHEN 5 THEN 'lotId:pattern' WHEN 7 THEN 'equipmentId:type' ELSE '' END"""
+
+
+@register(
+    "validate_mes",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ({MES_EXPECTED}) = '' AS is_valid,
+       {MES_EXPECTED} AS errors FROM lineitem""",
+)
+def validate_mes(spark, sf_dir):
+    v = _validated(pl.mes_payloads(spark, sf_dir), load_registry().rule("mes"))
+    return v.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "is_valid", "errors")
+
+
+@register(
+    "validate_mes_errors",
+    f"""SELECT e AS error, COUNT(*) AS error_count FROM (SELECT {MES_EXPECTED} AS e FROM lineitem)
+WHERE e <> '' GROUP BY e""",
+)
+def validate_mes_errors(spark, sf_dir):
+    """K-10: quarantine reasons, one row per error kind with its count."""
+    pay = pl.mes_payloads(spark, sf_dir).withColumn("payload", val.parse_payload(F.col("payload_text")))
+    v = val.validate(pay, load_registry().rule("mes"))
+    # explode_outer: a plain explode makes the optimizer infer size(errors) > 0 and push
+    # that filter below the staged probes, inlining the whole rule a second time
+    exploded = v.select(F.explode_outer("errors").alias("error")).filter(F.col("error").isNotNull())
+    return exploded.groupBy("error").agg(
+        F.count(F.lit(1)).alias("error_count")
+    )
+
+
+EVENTS_EXPECTED = """CASE
+ WHEN src = 'erp' THEN CASE event_id % 7 WHEN 0 THEN 'workOrderId:type' WHEN 1 THEN '<root>:required(timestamp)' ELSE '' END
+ WHEN src = 'equipment' THEN CASE event_id % 7 WHEN 0 THEN 'equipmentId:type' WHEN 1 THEN '<root>:required(eventType)' ELSE '' END
+ WHEN src = 'plm' THEN CASE event_id % 7 WHEN 0 THEN 'lifecycleState:enum' WHEN 1 THEN 'eventType:enum'
+                                      WHEN 2 THEN '<root>:required(partNumber)' WHEN 3 THEN 'owner:type' ELSE '' END
+ WHEN src = 'telemetry' THEN CASE event_id % 7 WHEN 0 THEN 'metrics:required(pressure)' WHEN 1 THEN 'metrics.temperature:type'
+                                      WHEN 2 THEN 'metrics:type' WHEN 3 THEN 'metrics.temperature:type' ELSE '' END END"""
+
+
+@register(
+    "validate_events",
+    orc.with_fixtures(
+        f"""SELECT event_id, src AS source, ({EVENTS_EXPECTED}) = '' AS is_valid, {EVENTS_EXPECTED} AS errors
+FROM ev WHERE event_type <> 'click'"""
+    ),
+)
+def validate_events(spark, sf_dir):
+    """erp, equipment, plm, telemetry: each branch with its own compiled rule."""
+    pay = pl.event_payloads(spark, sf_dir).withColumn("payload", val.parse_payload(F.col("payload_text")))
+    v = val.validate_by_source(pay, ["erp", "equipment", "plm", "telemetry"])
+    return v.select("event_id", "source", "is_valid", val.errors_as_text().alias("errors"))
+
+
+@register(
+    "validate_yield",
+    """SELECT o_orderkey, o_orderkey % 13 <> 0 AS is_valid,
+       CASE WHEN o_orderkey % 13 = 0 THEN 'yieldRate:type' ELSE '' END AS errors FROM orders""",
+)
+def validate_yield(spark, sf_dir):
+    """B4: CSV records typed by the rule, then validated per record."""
+    rule = load_registry().rule("yield")
+    rec = pl.yield_records(spark, sf_dir)
+    df = rec.select("o_orderkey", val.cast_record_by_schema(F.col("record"), rule).alias("payload_text"))
+    return _validated(df, rule).select("o_orderkey", "is_valid", "errors")
+
+
+@register(
+    "validate_file_csv",
+    """WITH recs AS (
+  SELECT c_custkey // 50 AS chunk, c_acctbal,
+         ROW_NUMBER() OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey) - 1 AS i FROM customer),
+errs AS (
+  SELECT chunk, 'file.rows.' || CAST(i AS VARCHAR) || '.2:oneOf' AS e FROM recs WHERE c_acctbal = floor(c_acctbal)
+  UNION ALL
+  SELECT DISTINCT chunk, CASE chunk % 5 WHEN 0 THEN 'metadata.fileName:pattern' WHEN 1 THEN 'metadata.contentVersion:pattern'
+                                        WHEN 2 THEN 'file.columns:minItems' WHEN 3 THEN 'file.delimiter:enum' END
+  FROM recs WHERE chunk % 5 IN (0, 1, 2, 3))
+SELECT r.chunk AS envelope_id, COUNT(e.e) = 0 AS is_valid,
+       COALESCE(array_to_string(list_sort(list(e.e) FILTER (WHERE e.e IS NOT NULL)), ';'), '') AS errors
+FROM (SELECT DISTINCT chunk FROM recs) r LEFT JOIN errs e ON e.chunk = r.chunk GROUP BY r.chunk""",
+)
+def validate_file_csv(spark, sf_dir):
+    v = _validated(pl.csv_envelopes(spark, sf_dir), load_registry().rule("file_csv"))
+    return v.select("envelope_id", "is_valid", "errors")
+
+
+@register(
+    "validate_file_xml",
+    """WITH recs AS (
+  SELECT n_regionkey AS r, ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation),
+errs AS (
+  SELECT r, 'file.records.' || CAST(i AS VARCHAR) || '.n_nationkey:oneOf' AS e FROM recs WHERE r % 2 = 0 AND r <> 3
+  UNION ALL SELECT DISTINCT r, 'file.rootTag:pattern' FROM recs WHERE r = 1
+  UNION ALL SELECT DISTINCT r, 'file.records:minItems' FROM recs WHERE r = 3
+  UNION ALL SELECT DISTINCT r, 'file.namespaces.x:type' FROM recs WHERE r = 4)
+SELECT g.r AS envelope_id, COUNT(e.e) = 0 AS is_valid,
+       COALESCE(array_to_string(list_sort(list(e.e) FILTER (WHERE e.e IS NOT NULL)), ';'), '') AS errors
+FROM (SELECT DISTINCT r FROM recs) g LEFT JOIN errs e ON e.r = g.r GROUP BY g.r""",
+)
+def validate_file_xml(spark, sf_dir):
+    v = _validated(pl.xml_envelopes(spark, sf_dir), load_registry().rule("file_xml"))
+    return v.select("envelope_id", "is_valid", "errors")
+
+
+@register(
+    "validate_file_json",
+    """SELECT DISTINCT s_suppkey // 10 AS envelope_id, (s_suppkey // 10) % 4 IN (0, 1) AS is_valid,
+       CASE (s_suppkey // 10) % 4 WHEN 2 THEN 'file.content:type' WHEN 3 THEN 'file.content:oneOf' ELSE '' END AS errors
+FROM supplier""",
+)
+def validate_file_json(spark, sf_dir):
+    v = _validated(pl.json_envelopes(spark, sf_dir), load_registry().rule("file_json"))
+    return v.select("envelope_id", "is_valid", "errors")
+
+
+@register(
+    "validate_file_content",
+    """SELECT DISTINCT 'file_csv' AS source, c_custkey // 50 AS envelope_id, TRUE AS is_valid, '' AS errors FROM customer
+UNION ALL SELECT DISTINCT 'file_xml', n_regionkey, TRUE, '' FROM nation
+UNION ALL SELECT DISTINCT 'file_json', s_suppkey // 10, TRUE, '' FROM supplier""",
+)
+def validate_file_content(spark, sf_dir):
+    """V-17: whole-document oneOf over the JSON / CSV / XML envelope shapes."""
+    env = (
+        pl.csv_envelopes(spark, sf_dir)
+        .unionByName(pl.xml_envelopes(spark, sf_dir).withColumn("envelope_id", F.col("envelope_id").cast("long")))
+        .unionByName(pl.json_envelopes(spark, sf_dir))
+    )
+    v = _validated(env, load_rule("rules/file_content_event.json"))
+    return v.select("source", "envelope_id", "is_valid", "errors")
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in values) + "]"
+
+
+def _pairs_sql() -> str:
+    reg = load_registry()
+    return ", ".join(f"('{c}', '{f}')" for c, f in reg.category_pairs())
+
+
+def _docs_cf_sql() -> str:
+    reg = load_registry()
+    cats, fmts = list(reg.categories), reg.formats()
+    return (
+        f"SELECT doc_id, list_extract({_sql_list(cats)}, CAST(doc_id % {len(cats)} AS INTEGER) + 1) AS category, "
+        f"list_extract({_sql_list(fmts)}, CAST(doc_id % {len(fmts)} AS INTEGER) + 1) AS format FROM documents"
+    )
+
+
+@register(
+    "validate_multiformat",
+    f"""WITH d AS ({_docs_cf_sql()}), m(category, format) AS (VALUES {_pairs_sql()})
+SELECT d.doc_id, d.category, d.format, m.format IS NOT NULL AS is_valid,
+       CASE WHEN m.format IS NULL THEN 'metadata.format:enum' ELSE '' END AS errors
+FROM d LEFT JOIN m ON m.category = d.category AND m.format = d.format""",
+)
+def validate_multiformat(spark, sf_dir):
+    """V-19 inside the rule: ten category if/then branches over the whole envelope."""
+    v = _validated(pl.multiformat_envelopes(spark, sf_dir), load_registry().rule("file_multiformat"))
+    return v.select("doc_id", "category", "format", "is_valid", "errors")
