@@ -627,3 +627,272 @@ def validate_multiformat(spark, sf_dir):
     """V-19 inside the rule: ten category if/then branches over the whole envelope."""
     v = _validated(pl.multiformat_envelopes(spark, sf_dir), load_registry().rule("file_multiformat"))
     return v.select("doc_id", "category", "format", "is_valid", "errors")
+
+
+# ---------------------------------------------------------------------------
+# Landing formats and parsers (S-1..S-14, A-6, D-1)
+# ---------------------------------------------------------------------------
+from fablake.sources import formats as fmt  # noqa: E402
+from fablake.sources import parsers as prs  # noqa: E402
+from fablake.sources.tables import read_table  # noqa: E402
+
+# fixture design: suffix appended to the page path, declared format and content type per page
+KEY_SUFFIXES = ["", ".json", ".XML", ".Csv", ".txt", ".yaml", ".yml", ".parquet", ".h5", ".hdf5", ".bin"]
+DECLARED = [None, "yaml", " csv ", "unknown"]
+CONTENT_TYPES = ["application/json; charset=utf-8", "TEXT/CSV", "application/octet-stream", None, "image/png"]
+
+
+def _pick(values, idx: Column) -> Column:
+    arr = F.array(*[F.lit(v) if v is not None else F.lit(None).cast("string") for v in values])
+    return F.element_at(arr, (idx % len(values) + 1).cast("int"))
+
+
+def _sql_pick(values, expr: str) -> str:
+    items = ", ".join("NULL" if v is None else "'" + v + "'" for v in values)
+    return f"list_extract([{items}], CAST(({expr}) % {len(values)} AS INTEGER) + 1)"
+
+
+def _sql_map(d: dict[str, str]) -> str:
+    return ", ".join(f"('{k}', '{v}')" for k, v in d.items())
+
+
+@register(
+    "resolve_format",
+    f"""WITH p AS (
+  SELECT page_id, regexp_replace(url, '[?#].*$', '') || {_sql_pick(KEY_SUFFIXES, 'page_id')} AS file_key,
+         {_sql_pick(DECLARED, 'page_id')} AS declared, {_sql_pick(CONTENT_TYPES, 'page_id')} AS content_type
+  FROM pages),
+q AS (
+  SELECT *, regexp_extract(file_key, '([^/]*)$', 1) AS name FROM p),
+r AS (
+  SELECT *, CASE WHEN regexp_extract(name, '(\\.[^.]+)$', 1) = name THEN ''
+                 ELSE lower(regexp_extract(name, '(\\.[^.]+)$', 1)) END AS ext FROM q),
+ext_map(ext, f) AS (VALUES {_sql_map(fmt.EXTENSION_FORMATS)}),
+alias_map(a, f) AS (VALUES {_sql_map(fmt.FORMAT_ALIASES)})
+SELECT r.page_id, r.file_key, r.ext,
+       COALESCE(e.f, CASE WHEN r.declared IS NOT NULL AND r.declared <> '' THEN r.declared END, 'JSON') AS key_format,
+       COALESCE(CASE WHEN r.declared IS NOT NULL AND r.declared <> '' THEN ad.f END,
+                CASE WHEN r.content_type IS NOT NULL AND r.content_type <> '' THEN am.f END, 'JSON') AS resolved_format
+FROM r LEFT JOIN ext_map e ON e.ext = r.ext
+LEFT JOIN alias_map ad ON ad.a = upper(trim(r.declared))
+LEFT JOIN alias_map am ON am.a = upper(trim(split_part(r.content_type, ';', 1)))""",
+)
+def resolve_format(spark, sf_dir):
+    """S-4 extension inference and S-5 declared/MIME resolution as column expressions."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    key = F.concat(F.regexp_replace("url", r"[?#].*$", ""), _pick(KEY_SUFFIXES, F.col("page_id")))
+    df = pages.select(
+        "page_id", key.alias("file_key"),
+        _pick(DECLARED, F.col("page_id")).alias("declared"),
+        _pick(CONTENT_TYPES, F.col("page_id")).alias("content_type"),
+    )
+    return df.select(
+        "page_id", "file_key", fmt.extension_of(F.col("file_key")).alias("ext"),
+        fmt.format_from_key(F.col("file_key"), F.col("declared")).alias("key_format"),
+        fmt.resolve_format(F.col("content_type"), F.col("declared")).alias("resolved_format"),
+    )
+
+
+def _json_docs(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    eid = F.col("event_id")
+    text = (
+        F.when(eid % 101 == 0, F.concat(F.lit('{"event_id": '), eid.cast("string")))
+        .when(eid % 50 == 0, F.col("value").cast("string"))
+        .otherwise(F.to_json(F.struct("event_id", "user_id", "event_type", "value")))
+    )
+    return ev.select("event_id", F.encode(text, "UTF-8").alias("content"))
+
+
+@register(
+    "normalise_json",
+    """SELECT event_id,
+       CASE WHEN event_id % 101 = 0 THEN 'rejected' WHEN event_id % 50 = 0 THEN 'wrapped' ELSE 'object' END AS kind,
+       CASE WHEN event_id % 101 <> 0 AND event_id % 50 <> 0 THEN user_id END AS user_id,
+       CASE WHEN event_id % 101 <> 0 AND event_id % 50 <> 0 THEN event_type END AS event_type,
+       CASE WHEN event_id % 101 <> 0 THEN value END AS value
+FROM events""",
+)
+def normalise_json(spark, sf_dir):
+    """S-7: objects pass, other values wrapped as {"value": x}, malformed rejected."""
+    parsed = prs.parse_json(_json_docs(spark, sf_dir))
+    v = F.try_parse_json(F.col("doc"))
+    wrapped = F.try_variant_get(v, "$.value", "variant").isNotNull() & F.try_variant_get(v, "$.event_id", "variant").isNull()
+    return parsed.select(
+        "event_id",
+        F.when(F.col("reject").isNotNull(), "rejected").when(wrapped, "wrapped").otherwise("object").alias("kind"),
+        F.try_variant_get(v, "$.user_id", "bigint").alias("user_id"),
+        F.try_variant_get(v, "$.event_type", "string").alias("event_type"),
+        F.try_variant_get(v, "$.value", "double").alias("value"),
+    )
+
+
+def _csv_docs(spark, sf_dir):
+    """customer chunks of 50 as CSV bodies: even chunks quote every field,
+    chunk % 3 = 0 uses CRLF, chunk % 7 = 0 has blank lines between rows."""
+    c = read_table(spark, sf_dir, "customer")
+    g = c.groupBy((F.col("c_custkey") / 50).cast("long").alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))).alias("recs")
+    )
+    ch = F.col("chunk")
+
+    def q(x):
+        return F.when(ch % 2 == 0, F.concat(F.lit('"'), F.regexp_replace(x, '"', '""'), F.lit('"'))).otherwise(x)
+
+    eol = F.when(ch % 3 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))
+    sep = F.when(ch % 7 == 0, F.concat(eol, eol)).otherwise(eol)
+    lines = F.transform(
+        "recs",
+        lambda r: F.concat_ws(",", q(r["c_custkey"].cast("string")), q(r["c_name"]),
+                              q(r["c_acctbal"].cast("string")), q(r["c_mktsegment"])),
+    )
+    header = F.lit("c_custkey,c_name,c_acctbal,c_mktsegment")
+    body = F.concat(header, eol, F.array_join(F.transform(lines, lambda ln: F.concat(ln, sep)), ""))
+    return g.select(
+        F.concat(F.lit("landing/customers/part-"), ch.cast("string"), F.lit(".csv")).alias("path"),
+        ch.alias("chunk"), F.encode(body, "UTF-8").alias("content"),
+    )
+
+
+@register("normalise_csv", "SELECT c_custkey // 50 AS chunk, c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def normalise_csv(spark, sf_dir):
+    """S-9: CSV bodies -> {columns, rows, row_count}; rows read back typed."""
+    parsed = prs.parse_csv(_csv_docs(spark, sf_dir))
+    rows = parsed.select(
+        "chunk",
+        F.explode(F.try_variant_get(F.try_parse_json("doc"), "$.rows", "array<map<string,string>>")).alias("r"),
+    )
+    return rows.select(
+        "chunk",
+        F.col("r")["c_custkey"].cast("bigint").alias("c_custkey"),
+        F.col("r")["c_name"].alias("c_name"),
+        F.col("r")["c_acctbal"].cast("double").alias("c_acctbal"),
+        F.col("r")["c_mktsegment"].alias("c_mktsegment"),
+    )
+
+
+@register(
+    "normalise_csv_files",
+    """SELECT 'landing/customers/part-' || CAST(c_custkey // 50 AS VARCHAR) || '.csv' AS path,
+       'c_custkey,c_name,c_acctbal,c_mktsegment' AS columns, COUNT(*) AS row_count
+FROM customer GROUP BY c_custkey // 50""",
+)
+def normalise_csv_files(spark, sf_dir):
+    """A-6: record count and header per file."""
+    parsed = prs.parse_csv(_csv_docs(spark, sf_dir))
+    v = F.try_parse_json("doc")
+    return parsed.select(
+        "path",
+        F.array_join(F.try_variant_get(v, "$.columns", "array<string>"), ",").alias("columns"),
+        F.try_variant_get(v, "$.row_count", "bigint").alias("row_count"),
+    )
+
+
+@register(
+    "normalise_xml",
+    """SELECT n_nationkey, CASE WHEN n_nationkey = 24 THEN NULL ELSE n_name END AS n_name,
+       CASE WHEN n_nationkey = 24 THEN NULL ELSE CAST(n_regionkey AS VARCHAR) END AS region,
+       CASE WHEN n_nationkey = 24 THEN NULL ELSE '' END AS note,
+       CASE WHEN n_nationkey = 24 THEN NULL ELSE 'west' END AS zone,
+       CASE WHEN n_nationkey = 24 THEN 'rejected' ELSE 'ok' END AS status
+FROM nation""",
+)
+def normalise_xml(spark, sf_dir):
+    """S-8: root wrapped, attributes under @attributes, text leaves, empty leaf = ''."""
+    n = read_table(spark, sf_dir, "nation")
+    body = F.concat(
+        F.lit('<nation id="'), F.col("n_nationkey").cast("string"), F.lit('"><name>'), F.col("n_name"),
+        F.lit("</name><region>"), F.col("n_regionkey").cast("string"), F.lit("</region><note/>"),
+        F.lit('<zone code="w">west</zone>'),
+        F.when(F.col("n_nationkey") == 24, F.lit("")).otherwise(F.lit("</nation>")),
+    )
+    parsed = prs.parse_xml(n.select("n_nationkey", F.encode(body, "UTF-8").alias("content")))
+    v = F.try_parse_json("doc")
+    return parsed.select(
+        F.coalesce(F.try_variant_get(v, "$.nation['@attributes'].id", "bigint"), F.col("n_nationkey")).alias("n_nationkey"),
+        F.try_variant_get(v, "$.nation.name", "string").alias("n_name"),
+        F.try_variant_get(v, "$.nation.region", "string").alias("region"),
+        F.try_variant_get(v, "$.nation.note", "string").alias("note"),
+        F.try_variant_get(v, "$.nation.zone['#text']", "string").alias("zone"),
+        F.when(F.col("reject").isNotNull(), "rejected").otherwise("ok").alias("status"),
+    )
+
+
+@register(
+    "normalise_yaml",
+    "SELECT r_regionkey, r_name, TRUE AS active, CAST(10 AS BIGINT) AS code, '2024-01-15' AS since FROM region",
+)
+def normalise_yaml(spark, sf_dir):
+    """S-10: YAML 1.1 scalars (yes -> true, 012 -> 10), dates rendered as ISO text."""
+    r = read_table(spark, sf_dir, "region")
+    body = F.concat(
+        F.lit("r_regionkey: "), F.col("r_regionkey").cast("string"), F.lit("\nr_name: "), F.col("r_name"),
+        F.lit("\nactive: yes\ncode: 012\nsince: 2024-01-15\n"),
+    )
+    parsed = prs.parse_yaml(r.select(F.encode(body, "UTF-8").alias("content")))
+    v = F.try_parse_json("doc")
+    return parsed.select(
+        F.try_variant_get(v, "$.r_regionkey", "int").alias("r_regionkey"),
+        F.try_variant_get(v, "$.r_name", "string").alias("r_name"),
+        F.try_variant_get(v, "$.active", "boolean").alias("active"),
+        F.try_variant_get(v, "$.code", "bigint").alias("code"),
+        F.try_variant_get(v, "$.since", "string").alias("since"),
+    )
+
+
+def _text_docs(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    raw = F.encode(F.col("text"), "UTF-8")
+    bad = F.concat(raw, F.unhex(F.lit("FF")))
+    return d.select("doc_id", F.when(F.col("doc_id") % 37 == 0, bad).otherwise(raw).alias("content"))
+
+
+@register(
+    "normalise_text",
+    """SELECT doc_id, CASE WHEN doc_id % 37 = 0 THEN 'rejected' ELSE 'ok' END AS status,
+       CASE WHEN doc_id % 37 = 0 THEN NULL ELSE length(text) END AS n_chars FROM documents""",
+)
+def normalise_text(spark, sf_dir):
+    """S-11: whole body as {"text": ...}; invalid UTF-8 rejected (never throws)."""
+    parsed = prs.parse_text(_text_docs(spark, sf_dir))
+    return parsed.select(
+        "doc_id",
+        F.when(F.col("reject").isNotNull(), "rejected").otherwise("ok").alias("status"),
+        F.char_length(F.try_variant_get(F.try_parse_json("doc"), "$.text", "string")).cast("bigint").alias("n_chars"),
+    )
+
+
+@register(
+    "normalise_binary",
+    "SELECT doc_id, to_base64(encode(text)) AS content_base64 FROM documents",
+)
+def normalise_binary(spark, sf_dir):
+    """S-12: opaque formats kept as {"content_base64": ...}."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    parsed = prs.parse_binary(d)
+    return parsed.select("doc_id", F.get_json_object("doc", "$.content_base64").alias("content_base64"))
+
+
+def _parquet_oracle() -> str:
+    from fablake.sources.tables import DRIVER_TABLES
+
+    parts = [
+        f"SELECT '{t}.parquet' AS file_name, "
+        f"(SELECT string_agg(column_name, ',' ORDER BY ordinal_position) FROM information_schema.columns "
+        f"WHERE table_name = '{t}') AS columns, (SELECT COUNT(*) FROM {t}) AS row_count"
+        for t in DRIVER_TABLES
+    ]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("normalise_parquet", _parquet_oracle())
+def normalise_parquet(spark, sf_dir):
+    """S-1 listing (content pruned) + S-13 native Parquet reads: columns and row count per file."""
+    listing = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf_dir).select("path")
+    )
+    paths = [r.path for r in listing.collect()]  # file names only: bounded by the folder listing
+    stats = prs.read_parquet_files(spark, paths)
+    return stats.select(
+        F.regexp_extract("file_path", r"([^/]+)$", 1).alias("file_name"), "columns", "row_count"
+    )

@@ -34,6 +34,7 @@ def build_session(
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # duplicate CSV header names keep the last cell, as a dict zip does
         .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+        .config("spark.sql.chunkBase64String.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
