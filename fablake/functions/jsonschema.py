@@ -99,13 +99,26 @@ def is_type(v: Column, k: Column, t: str, node=None) -> Column:
     raise RuleError(f"unknown type {t!r}")
 
 
-def _lit_path(path: Column, key: str | Column) -> Column:
+def _lit_path(path: str | Column, key: str | Column) -> str | Column:
+    """Child path: plain text while static, a Column only inside lambdas."""
+    if isinstance(path, str) and isinstance(key, str):
+        return key if path == "" else f"{path}.{key}"
     k = F.lit(key) if isinstance(key, str) else key.cast("string")
-    return F.when(path == F.lit(""), k).otherwise(F.concat(path, F.lit("."), k))
-
-
-def _err(path: Column, keyword: str, detail: Column | str | None = None) -> Column:
-    shown = F.when(path == F.lit(""), F.lit(ROOT)).otherwise(path)
+    if isinstance(path, str):
+        return k if path == "" else F.concat(F.lit(path + "."), k)
+    return F.concat(path, F.lit("."), k)
+
+
+def _err(path: str | Column, keyword: str, detail: Column | str | None = None) -> Column:
+    if isinstance(path, str):
+        text = (path or ROOT) + ":" + keyword
+        if isinstance(detail, str):
+            return F.lit(f"{text}({detail})")
+        parts = [F.lit(text)]
+        if detail is not None:
+            parts += [F.lit("("), detail, F.lit(")")]
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
+    shown = path  # dynamic paths always hold at least one index
     parts = [shown, F.lit(":" + keyword)]
     if detail is not None:
         parts += [F.lit("("), F.lit(detail) if isinstance(detail, str) else detail, F.lit(")")]
@@ -187,17 +200,20 @@ class RulePlan:
     object keys are checked inline in higher-order functions.
     """
 
+    _ids = __import__("itertools").count(1)
+
     def __init__(self, schema: dict[str, Any], payload: Column):
+        self._pid = next(RulePlan._ids)
         self.stage_a: list[Column] = []
         self.stage_b: list[Column] = []
         self.names: list[str] = []
         self._n = 0
         root = _Node(self, self.probe_a("root", payload), "root")
-        self.errors = F.array_sort(_errors(schema, root, F.lit(""), self, "$"))
+        self.errors = F.array_sort(_errors(schema, root, "", self, "$"))
 
     def _name(self, base: str) -> str:
         self._n += 1
-        name = f"_r{self._n}_{base}"
+        name = f"_r{self._pid}_{self._n}_{base}"
         self.names.append(name)
         return name
 
@@ -211,11 +227,14 @@ class RulePlan:
         self.stage_b.append(expr.alias(name))
         return F.col(name)
 
-    def apply(self, df, out: str = "errors"):
+    def apply(self, df, out: str = "errors", extra: dict[str, Column] | None = None):
+        """Three projections: stage A, stage B, then the kept columns + errors (+ extra)."""
+        keep = [c for c in df.columns]
         staged = df.select("*", *self.stage_a)
         if self.stage_b:
             staged = staged.select("*", *self.stage_b)
-        return staged.withColumn(out, self.errors).drop(*self.names)
+        extra_cols = [c.alias(n) for n, c in (extra or {}).items()]
+        return staged.select(*keep, self.errors.alias(out), *extra_cols)
 
 
 def _empty() -> Column:
@@ -226,7 +245,8 @@ def _child_path(jpath: str, key: str) -> str:
     return jpath + "['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
-def _errors(schema: dict[str, Any] | bool, node: _Node, path: Column, plan: RulePlan | None, jpath: str | None) -> Column:
+def _errors(schema: dict[str, Any] | bool, node: _Node, path: str | Column, plan: RulePlan | None,
+            jpath: str | None) -> Column:
     """Errors of ``node`` against ``schema``. ``plan``/``jpath`` are None inside lambdas."""
     if schema is True or schema == {}:
         return _empty()
@@ -350,12 +370,25 @@ def plan_root(plan: RulePlan) -> Column:
 
 def errors(schema: dict[str, Any] | bool, v: Column, path: Column | None = None) -> Column:
     """Inline form (no staging): ARRAY<STRING> of errors of VARIANT ``v``."""
-    return _errors(schema, _Node(None, v, ""), F.lit("") if path is None else path, None, None)
+    return _errors(schema, _Node(None, v, ""), "" if path is None else path, None, None)
+
 
+_PLAN_CACHE: dict[tuple[str, str], RulePlan] = {}
 
-def compile_rule(schema: dict[str, Any], payload: Column) -> RulePlan:
-    """Sorted error list for a whole payload (V-22), as a staged plan."""
-    return RulePlan(schema, payload)
+
+def compile_rule(schema: dict[str, Any], payload: Column, cache_key: str | None = None) -> RulePlan:
+    """Sorted error list for a whole payload (V-22), as a staged plan.
+
+    Building a plan costs many JVM round trips, so plans are cached per
+    (rule, payload column) when a ``cache_key`` is given. A cached plan must
+    appear at most once in one DataFrame (its probe names are fixed).
+    """
+    if cache_key is None:
+        return RulePlan(schema, payload)
+    key = (cache_key, str(payload))
+    if key not in _PLAN_CACHE:
+        _PLAN_CACHE[key] = RulePlan(schema, payload)
+    return _PLAN_CACHE[key]
 
 
 def error_text(errs: Column) -> Column:

@@ -21,18 +21,14 @@ def parse_payload(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
-def validate(df: DataFrame, rule: dict[str, Any], payload: str = "payload") -> DataFrame:
+def validate(df: DataFrame, rule: dict[str, Any], payload: str = "payload", cache_key: str | None = None) -> DataFrame:
     """Add ``errors`` (sorted) and ``is_valid``; an unparsable payload gets ``<root>:parse``."""
-    plan = compile_rule(rule, F.col(payload))
+    plan = compile_rule(rule, F.col(payload), cache_key)
     checked = plan.apply(df, "_errs")
-    return (
-        checked.withColumn(
-            "errors",
-            F.when(F.col(payload).isNotNull(), F.col("_errs")).otherwise(F.array(F.lit("<root>:parse"))),
-        )
-        .drop("_errs")
-        .withColumn("is_valid", F.size("errors") == 0)
-    )
+    return checked.select(
+        *df.columns,
+        F.when(F.col(payload).isNotNull(), F.col("_errs")).otherwise(F.array(F.lit("<root>:parse"))).alias("errors"),
+    ).select("*", (F.size("errors") == 0).alias("is_valid"))
 
 
 def validate_source(df: DataFrame, source: str, payload: str = "payload", reg: Registry | None = None) -> DataFrame:
@@ -42,13 +38,24 @@ def validate_source(df: DataFrame, source: str, payload: str = "payload", reg: R
 
 def validate_by_source(df: DataFrame, sources: list[str], payload: str = "payload",
                        source_col: str = "source", reg: Registry | None = None) -> DataFrame:
-    """Split by source, validate each branch with its own rule, stack again."""
+    """One branch per source, each with only its own compiled rule, stacked again.
+
+    Landing data is laid out by source (``{prefix}/...`` folders, or a
+    ``source`` partition column), so each branch's filter prunes to its own
+    files and the input is still read once in total. Small per-branch
+    expressions keep whole-stage code generation; one CASE over every rule
+    would not fit it. Rows of sources without a rule keep an empty list.
+    """
     reg = reg or load_registry()
+    src = F.col(source_col)
     out = None
     for s in sources:
-        part = validate(df.filter(F.col(source_col) == s), reg.rule(s), payload)
+        part = validate(df.filter(src == F.lit(s)), reg.rule(s), payload, cache_key=f"source:{s}")
         out = part if out is None else out.unionByName(part)
-    return out
+    rest = df.filter(~src.isin(*sources) | src.isNull()).withColumn(
+        "errors", F.array().cast("array<string>")
+    ).withColumn("is_valid", F.lit(True))
+    return out.unionByName(rest) if out is not None else rest
 
 
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -896,3 +896,164 @@ def normalise_parquet(spark, sf_dir):
     return stats.select(
         F.regexp_extract("file_path", r"([^/]+)$", 1).alias("file_name"), "columns", "row_count"
     )
+
+
+# ---------------------------------------------------------------------------
+# Ingest job (P-1..P-7, K-1..K-6, K-10, J-4, F-4, D-2, D-3, B3, B7)
+# ---------------------------------------------------------------------------
+from fablake.plans import ingest as ing  # noqa: E402
+
+
+def _ingest(spark, sf_dir):
+    return ing.run(ing.requests_from_tables(spark, sf_dir), ing.BATCH_TIME)
+
+
+def _uuid_sql(expr: str) -> str:
+    h = f"sha256({expr})"
+    return (f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || "
+            f"substr({h}, 17, 4) || '-' || substr({h}, 21, 12)")
+
+
+def _stream_sql(src: str) -> str:
+    reg = load_registry()
+    whens = " ".join(f"WHEN '{n}' THEN '{reg.physical_stream(s.stream)}'" for n, s in reg.sources.items())
+    return f"CASE {src} {whens} END"
+
+
+def _prefix_sql(src: str) -> str:
+    reg = load_registry()
+    whens = " ".join(f"WHEN '{n}' THEN '{s.raw_prefix}'" for n, s in reg.sources.items())
+    return f"CASE {src} {whens} END"
+
+
+REQUESTS_SQL = f"""
+req AS (
+  SELECT 'li-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' ||
+         CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS request_key, 'mes' AS source,
+         CASE WHEN l_partkey % 11 IN (0, 1, 2, 3, 4, 5, 7) THEN 'validation' WHEN l_partkey % 11 = 6 THEN 'validation' END AS reason,
+         CASE WHEN l_partkey % 11 = 6 THEN 'Curated timestamp is not ISO 8601'
+              WHEN l_partkey % 11 IN (0, 1, 2, 3, 4, 5, 7) THEN 'Payload failed schema validation: ' || ({MES_EXPECTED}) END AS error_message,
+         'LOT-' || CAST(l_orderkey AS VARCHAR) AS lot_id, 'REC' || CAST(l_suppkey AS VARCHAR) AS recipe_id,
+         'EQ' || CAST(l_linenumber AS VARCHAR) AS equipment_id, CAST(l_quantity AS INTEGER) AS wafer_count,
+         l_extendedprice / 100 AS temperature, date_trunc('second', l_shipdate) AS event_timestamp,
+         'LOT_COMPLETED' AS event_type
+  FROM lineitem
+  UNION ALL
+  SELECT 'ev-' || CAST(event_id AS VARCHAR), src,
+         CASE WHEN event_id % 17 = 0 THEN 'validation' WHEN ({EVENTS_EXPECTED}) <> '' THEN 'validation' END,
+         CASE WHEN event_id % 17 = 0 THEN 'Request body is not valid JSON'
+              WHEN ({EVENTS_EXPECTED}) <> '' THEN 'Payload failed schema validation: ' || ({EVENTS_EXPECTED}) END,
+         NULL, NULL, NULL, NULL, NULL, NULL,
+         CASE src WHEN 'erp' THEN 'WORK_ORDER_RELEASED' WHEN 'equipment' THEN (CASE WHEN event_id % 7 = 1 THEN NULL ELSE 'STATUS_CHANGED' END)
+                  WHEN 'plm' THEN (CASE WHEN event_id % 7 = 1 THEN 'ECO_DRAFT' ELSE 'ECO_RELEASED' END) WHEN 'telemetry' THEN 'TELEMETRY' END
+  FROM ev WHERE event_type <> 'click'
+  UNION ALL
+  SELECT 'ev-' || CAST(event_id AS VARCHAR), 'scada', 'unknown_source', 'Unknown source: scada',
+         NULL, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM ev WHERE event_type = 'click' AND event_id % 13 = 0
+),
+req2 AS (
+  SELECT *, {_uuid_sql("source || chr(1) || request_key")} AS request_id,
+         CASE WHEN reason IS NULL THEN 202 WHEN reason = 'unknown_source' THEN 404 ELSE 400 END AS http_status,
+         CASE WHEN reason IS NULL THEN {_stream_sql("source")} END AS stream,
+         CASE WHEN source = 'mes' THEN 'lot_master' ELSE 'raw_events' END AS curated_table
+  FROM req
+)"""
+
+
+def _ingest_sql(body: str) -> str:
+    return orc.with_fixtures(REQUESTS_SQL.strip() + "\n" + body)
+
+
+@register(
+    "ingest_audit",
+    _ingest_sql("""SELECT request_id, request_key, source, stream,
+       CASE WHEN reason IS NULL THEN 'SUCCESS' ELSE 'FAILED' END AS status, http_status, error_message FROM req2"""),
+)
+def ingest_audit(spark, sf_dir):
+    """K-6 + P-7 + B3: one audit row per request, parse failures included."""
+    a = _ingest(spark, sf_dir).audit
+    return a.select("request_id", "request_key", "source", "stream", "status", "http_status", "error_message")
+
+
+@register(
+    "ingest_accepted",
+    _ingest_sql(f"""SELECT request_id, source, 'ACCEPTED' AS status,
+       {_prefix_sql("source")} || '/2024/02/01/' || source || '-' || request_id || '.json' AS s3_key,
+       stream, curated_table FROM req2 WHERE reason IS NULL"""),
+)
+def ingest_accepted(spark, sf_dir):
+    """P-6: acceptance records with object key, physical stream and curated table."""
+    return _ingest(spark, sf_dir).accepted.select("request_id", "source", "status", "s3_key", "stream", "curated_table")
+
+
+@register(
+    "curate_lots",
+    _ingest_sql("""SELECT request_id, lot_id, recipe_id, equipment_id, wafer_count, temperature, event_type,
+       event_timestamp, TIMESTAMP '2024-02-01 06:00:00' AS created_at
+FROM req2 WHERE reason IS NULL AND source = 'mes'"""),
+)
+def curate_lots(spark, sf_dir):
+    """P-1/P-3/P-4/K-5/D-2: mapped curation of the mes payloads into the lot table."""
+    lots = _ingest(spark, sf_dir).lots
+    return lots.select("request_id", "lot_id", "recipe_id", "equipment_id", "wafer_count", "temperature",
+                       "event_type", "event_timestamp", "created_at")
+
+
+@register(
+    "curate_raw",
+    _ingest_sql("SELECT request_id, source, event_type FROM req2 WHERE reason IS NULL AND source <> 'mes'"),
+)
+def curate_raw(spark, sf_dir):
+    """P-2: generic raw-event rows (event_type taken from the payload)."""
+    return _ingest(spark, sf_dir).raws.select("request_id", "source", "event_type")
+
+
+@register(
+    "publish_records",
+    _ingest_sql("""SELECT stream AS topic, request_id AS key, COALESCE(event_type, '') AS event_type
+FROM req2 WHERE reason IS NULL"""),
+)
+def publish_records(spark, sf_dir):
+    """K-3: (topic, key, value) records keyed by request id on the physical stream."""
+    rec = _ingest(spark, sf_dir).records
+    return rec.select("topic", "key", F.coalesce(F.get_json_object("value", "$.eventType"), F.lit("")).alias("event_type"))
+
+
+@register(
+    "bronze_keys",
+    _ingest_sql(f"""SELECT source, {_prefix_sql("source")} || '/2024/02/01/' || source || '-' || request_id || '.json' AS s3_key,
+       2024 AS year, '02' AS month, '01' AS day FROM req2 WHERE reason IS NULL"""),
+)
+def bronze_keys(spark, sf_dir):
+    """K-1: date-partitioned landing layout and object keys."""
+    b = _ingest(spark, sf_dir).bronze
+    return b.select("source", "s3_key", "year", "month", "day")
+
+
+@register(
+    "quarantine",
+    _ingest_sql("SELECT request_key, source, reason, http_status, error_message FROM req2 WHERE reason IS NOT NULL"),
+)
+def quarantine(spark, sf_dir):
+    """K-10: rejected requests with outcome class, status code and message."""
+    q = _ingest(spark, sf_dir).quarantine
+    return q.select("request_key", "source", "reason", "http_status", "error_message")
+
+
+@register(
+    "route_summary",
+    _ingest_sql(f"""SELECT source, COUNT(*) AS n_requests, count_if(reason IS NULL) AS n_accepted,
+       {_stream_sql("source")} AS physical_stream, ANY_VALUE(curated_table) AS curated_table
+FROM req2 WHERE reason IS NULL OR reason <> 'unknown_source' GROUP BY source"""),
+)
+def route_summary(spark, sf_dir):
+    """P-5 / J-4 / F-4: routing per known source (bucket, stream, curated table)."""
+    c = _ingest(spark, sf_dir).checked.filter(F.col("reason").isNull() | (F.col("reason") != "unknown_source"))
+    reg = load_registry()
+    phys = F.create_map(*[x for n, s in reg.sources.items() for x in (F.lit(n), F.lit(reg.physical_stream(s.stream)))])
+    return c.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_requests"),
+        F.count_if("accepted").alias("n_accepted"),
+        F.first("curated_table").alias("curated_table"),
+    ).withColumn("physical_stream", F.element_at(phys, F.col("source")))

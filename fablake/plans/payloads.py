@@ -49,7 +49,7 @@ def mes_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("recipeId", jstr(F.concat(F.lit("REC"), F.col("l_suppkey")))),
         ("equipmentId", F.when(d == 7, F.lit("null")).otherwise(jstr(F.concat(F.lit("EQ"), F.col("l_linenumber"))))),
         ("waferCount", F.when(d == 1, jstr(qty)).when(d == 2, F.lit("0")).otherwise(jnum(qty))),
-        ("temperature", jnum(F.round(F.col("l_extendedprice") / 100, 2))),
+        ("temperature", jnum(F.col("l_extendedprice") / 100)),
         ("timestamp", F.when(d == 6, jstr(F.lit("not-a-timestamp"))).otherwise(jstr(F.date_format("l_shipdate", ISO)))),
         ("operator", F.when(d == 4, jstr(F.lit("night")))),
     )
