@@ -1057,3 +1057,316 @@ def route_summary(spark, sf_dir):
         F.count_if("accepted").alias("n_accepted"),
         F.first("curated_table").alias("curated_table"),
     ).withColumn("physical_stream", F.element_at(phys, F.col("source")))
+
+
+# ---------------------------------------------------------------------------
+# Governance, registry, catalog, traceability, heartbeats (G-1..G-4, J-3, C-1, C-2, T-1, T-2, H-1, D-3)
+# ---------------------------------------------------------------------------
+from fablake.operators import governance as gov  # noqa: E402
+from fablake.registry import category_pairs_frame, sources_frame, streams_frame  # noqa: E402
+
+POLICIES_SQL = """
+policies(id, asset_class, subject, operation, classification) AS (VALUES
+  (1, 'telemetry', 'analyst', 'read', 'internal'), (2, 'telemetry', 'engineer', 'read', 'internal'),
+  (3, 'telemetry', 'engineer', 'write', 'internal'), (4, 'mes', 'engineer', 'read', 'confidential'),
+  (5, 'mes', 'admin', 'write', 'confidential'), (6, 'erp', 'analyst', 'read', 'internal'),
+  (7, 'erp', 'admin', 'delete', 'restricted'), (8, 'plm', 'engineer', 'read', 'restricted'),
+  (9, 'equipment', 'analyst', 'read', 'internal'), (10, 'equipment', 'engineer', 'write', 'internal'),
+  (11, 'mes', 'engineer', 'read', 'confidential')),
+requests AS (
+  SELECT event_id AS request_no,
+         list_extract(['analyst', 'engineer', 'admin', 'viewer'], CAST(user_id % 4 AS INTEGER) + 1) AS subject,
+         src AS asset_class,
+         list_extract(['read', 'write', 'delete'], CAST(event_id % 3 AS INTEGER) + 1) AS operation
+  FROM ev)"""
+
+
+def _gov_sql(body: str) -> str:
+    return orc.with_fixtures(POLICIES_SQL.strip() + "\n" + body)
+
+
+@register(
+    "access_decision",
+    _gov_sql("""SELECT r.request_no, r.subject, r.asset_class, r.operation,
+       EXISTS (SELECT 1 FROM policies p WHERE p.asset_class = r.asset_class AND p.subject = r.subject
+               AND p.operation = r.operation) AS allowed
+FROM requests r"""),
+)
+def access_decision(spark, sf_dir):
+    """G-2 / J-3: exact match on (asset_class, subject, operation), default deny."""
+    return gov.access_decision(fx.access_requests(spark, sf_dir), fx.policies(spark))
+
+
+@register(
+    "denied_requests",
+    _gov_sql("""SELECT r.* FROM requests r WHERE NOT EXISTS (SELECT 1 FROM policies p
+  WHERE p.asset_class = r.asset_class AND p.subject = r.subject AND p.operation = r.operation)"""),
+)
+def denied_requests(spark, sf_dir):
+    return gov.denied_requests(fx.access_requests(spark, sf_dir), fx.policies(spark))
+
+
+@register(
+    "readable_rows",
+    _gov_sql("""SELECT id, source, event_type, s3_key FROM raw_events re
+WHERE EXISTS (SELECT 1 FROM policies p WHERE p.subject = 'analyst' AND p.operation = 'read' AND p.asset_class = re.source)"""),
+)
+def readable_rows(spark, sf_dir):
+    """G-2 as a row filter over the raw events."""
+    raws = fx.raw_events(spark, sf_dir).select("id", "source", "event_type", "s3_key")
+    return gov.readable_rows(raws, fx.policies(spark), "analyst", "read")
+
+
+@register(
+    "policy_grants",
+    _gov_sql("""SELECT subject, COUNT(*) AS n_policies, COUNT(DISTINCT asset_class) AS n_classes,
+       array_to_string(list_sort(list(DISTINCT classification)), ',') AS classifications
+FROM policies GROUP BY subject"""),
+)
+def policy_grants(spark, sf_dir):
+    """G-1: registered policies summarised per subject (classification carried, not evaluated)."""
+    p = fx.policies(spark)
+    return p.groupBy("subject").agg(
+        F.count(F.lit(1)).alias("n_policies"),
+        F.countDistinct("asset_class").alias("n_classes"),
+        F.array_join(F.array_sort(F.collect_set("classification")), ",").alias("classifications"),
+    )
+
+
+def _values_sql(rows, cols) -> str:
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return "TRUE" if v else "FALSE"
+        if isinstance(v, (int, float)):
+            return str(v)
+        return "'" + str(v).replace("'", "''") + "'"
+
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {body}) AS t({', '.join(cols)})"
+
+
+def _sources_rows():
+    reg = load_registry()
+    return [(s.name, s.display_name, s.endpoint, s.method, s.type, s.input_format, s.target_table,
+             s.target_schema, s.stream, s.raw_bucket, s.raw_prefix, s.enabled) for s in reg.sources.values()]
+
+
+SOURCE_COLS = ["source", "display_name", "endpoint", "method", "type", "input_format", "target_table",
+               "target_schema", "stream", "raw_bucket", "raw_prefix", "enabled"]
+
+
+@register("registry_sources", _values_sql(_sources_rows(), SOURCE_COLS))
+def registry_sources(spark, sf_dir):
+    """G-4 / D-3: the source registry as a table (defaults applied)."""
+    return sources_frame(spark).select(*SOURCE_COLS)
+
+
+@register(
+    "registry_streams",
+    _values_sql([(k, v["name"], v.get("shard_count", 1)) for k, v in load_registry().streams.items()],
+                ["logical_stream", "physical_stream", "shard_count"]),
+)
+def registry_streams(spark, sf_dir):
+    return streams_frame(spark)
+
+
+@register("registry_pairs", _values_sql(load_registry().category_pairs(), ["category", "format"]))
+def registry_pairs(spark, sf_dir):
+    """G-4: categories exploded to (category, format)."""
+    return category_pairs_frame(spark)
+
+
+def _audit_expected():
+    reg = load_registry()
+    rows = []
+    for name, s in reg.sources.items():
+        rows.append(("stream_known", name, "PASS" if s.stream in reg.streams else "FAIL"))
+        rows.append(("routing_declared", name, "PASS" if name in reg.routing_sources else "FAIL"))
+        rows.append(("validation_declared", name, "PASS" if name in reg.validation_sources else "FAIL"))
+    return rows
+
+
+@register("registry_audit", _values_sql(_audit_expected(), ["check_name", "subject", "status"]))
+def registry_audit(spark, sf_dir):
+    """G-3: registry drift as anti joins between the registry tables."""
+    reg = load_registry()
+    src = sources_frame(spark, reg).select("source", F.col("stream").alias("logical_stream"))
+    streams = streams_frame(spark, reg).select("logical_stream").withColumn("_s", F.lit(True))
+    routing = spark.createDataFrame([(n,) for n in reg.routing_sources], "source string").withColumn("_r", F.lit(True))
+    validation = spark.createDataFrame([(n,) for n in reg.validation_sources], "source string").withColumn("_v", F.lit(True))
+    j = (src.join(F.broadcast(streams), "logical_stream", "left")
+         .join(F.broadcast(routing), "source", "left").join(F.broadcast(validation), "source", "left"))
+    checks = F.array(
+        F.struct(F.lit("stream_known").alias("check_name"), F.col("_s").isNotNull().alias("ok")),
+        F.struct(F.lit("routing_declared").alias("check_name"), F.col("_r").isNotNull().alias("ok")),
+        F.struct(F.lit("validation_declared").alias("check_name"), F.col("_v").isNotNull().alias("ok")),
+    )
+    e = j.select(F.col("source").alias("subject"), F.explode(checks).alias("c"))
+    return e.select("c.check_name", "subject", F.when(F.col("c.ok"), "PASS").otherwise("FAIL").alias("status"))
+
+
+@register(
+    "category_format_matrix",
+    f"""WITH d AS ({_docs_cf_sql()}), m(category, format) AS (VALUES {_pairs_sql()})
+SELECT d.doc_id, d.category, d.format FROM d
+WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.category = d.category AND m.format = d.format)""",
+)
+def category_format_matrix(spark, sf_dir):
+    """V-19 / J-5: envelopes whose (category, format) is not an allowed pair (broadcast anti join, 29 rows)."""
+    env = pl.multiformat_envelopes(spark, sf_dir).select("doc_id", "category", "format")
+    return env.join(F.broadcast(category_pairs_frame(spark)), ["category", "format"], "left_anti")
+
+
+@register(
+    "category_coverage",
+    f"""WITH d AS ({_docs_cf_sql()}), m(category, format) AS (VALUES {_pairs_sql()}),
+ok AS (SELECT d.* FROM d JOIN m USING (category, format))
+SELECT m2.category, COALESCE(c.n_docs, 0) AS n_docs, COALESCE(c.n_allowed, 0) AS n_allowed,
+       COALESCE(c.formats_seen, '') AS formats_seen,
+       COALESCE((SELECT array_to_string(list_sort(list(m3.format)), ',') FROM m m3 WHERE m3.category = m2.category
+                 AND m3.format NOT IN (SELECT format FROM ok WHERE ok.category = m2.category)), '') AS formats_missing
+FROM (SELECT DISTINCT category FROM m) m2
+LEFT JOIN (SELECT d.category, COUNT(*) AS n_docs, COUNT(ok.doc_id) AS n_allowed,
+                  array_to_string(list_sort(list(DISTINCT ok.format) FILTER (WHERE ok.format IS NOT NULL)), ',') AS formats_seen
+           FROM d LEFT JOIN ok USING (doc_id) GROUP BY d.category) c ON c.category = m2.category""",
+)
+def category_coverage(spark, sf_dir):
+    """A-7 / U-1: allowed formats seen per category and the matrix formats never seen."""
+    pairs = category_pairs_frame(spark)
+    env = pl.multiformat_envelopes(spark, sf_dir).select("doc_id", "category", "format")
+    ok = env.join(F.broadcast(pairs), ["category", "format"], "left_semi")
+    per_cat = env.groupBy("category").agg(F.count(F.lit(1)).alias("n_docs"))
+    seen = ok.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n_allowed"),
+        F.array_join(F.array_sort(F.collect_set("format")), ",").alias("formats_seen"),
+    )
+    missing = pairs.exceptAll(ok.select("category", "format").distinct()).groupBy("category").agg(
+        F.array_join(F.array_sort(F.collect_list("format")), ",").alias("formats_missing")
+    )
+    cats = pairs.select("category").distinct()
+    return (
+        cats.join(per_cat, "category", "left").join(seen, "category", "left").join(missing, "category", "left")
+        .select(
+            "category",
+            F.coalesce("n_docs", F.lit(0)).cast("bigint").alias("n_docs"),
+            F.coalesce("n_allowed", F.lit(0)).cast("bigint").alias("n_allowed"),
+            F.coalesce("formats_seen", F.lit("")).alias("formats_seen"),
+            F.coalesce("formats_missing", F.lit("")).alias("formats_missing"),
+        )
+    )
+
+
+@register(
+    "assets_by_class",
+    orc.with_fixtures("""SELECT source AS asset_class, 's3://semiconductor-landing/' || s3_key AS s3_path,
+       source AS source_name, TRUE AS registered FROM raw_events WHERE source = 'telemetry'"""),
+)
+def assets_by_class(spark, sf_dir):
+    """C-1 register every landed object, C-2 list one class."""
+    assets = gov.register_assets(fx.raw_events(spark, sf_dir), "semiconductor-landing")
+    return gov.list_assets(assets, "telemetry")
+
+
+@register(
+    "asset_counts",
+    orc.with_fixtures("SELECT source AS asset_class, COUNT(*) AS n_assets FROM raw_events GROUP BY source"),
+)
+def asset_counts(spark, sf_dir):
+    assets = gov.register_assets(fx.raw_events(spark, sf_dir), "semiconductor-landing")
+    return assets.groupBy("asset_class").agg(F.count(F.lit(1)).alias("n_assets"))
+
+
+def _trace(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag",
+                                                      "l_linestatus", "l_suppkey", "l_partkey")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return li.join(part, li["l_partkey"] == part["p_partkey"]).select(
+        F.concat(F.lit("LOT-"), F.col("l_orderkey").cast("string")).alias("lot_id"),
+        F.concat(F.lit("W"), F.col("l_linenumber").cast("string")).alias("wafer_id"),
+        F.concat("l_returnflag", "l_linestatus").alias("process_step_id"),
+        F.concat(F.lit("TOOL-"), F.col("l_suppkey").cast("string")).alias("tool_id"),
+        F.col("p_brand").alias("design_version"),
+    )
+
+
+@register(
+    "trace_lots",
+    """SELECT 'LOT-' || CAST(l_orderkey AS VARCHAR) AS lot_id, 'W' || CAST(l_linenumber AS VARCHAR) AS wafer_id,
+       l_returnflag || l_linestatus AS process_step_id, 'TOOL-' || CAST(l_suppkey AS VARCHAR) AS tool_id,
+       p_brand AS design_version
+FROM lineitem JOIN part ON l_partkey = p_partkey
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
+)
+def trace_lots(spark, sf_dir):
+    """T-1 records from lineitem x part; T-2 lineage of every finished lot (semi join)."""
+    lots = read_table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F").select(
+        F.concat(F.lit("LOT-"), F.col("o_orderkey").cast("string")).alias("lot_id")
+    )
+    return gov.lineage_of_lots(_trace(spark, sf_dir), lots)
+
+
+@register(
+    "heartbeat_latest",
+    """SELECT agent_id, status, created_at FROM (
+  SELECT 'agent-' || CAST(user_id AS VARCHAR) AS agent_id, event_type AS status, ts AS created_at,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events) WHERE k = 1""",
+)
+def heartbeat_latest(spark, sf_dir):
+    """H-1: heartbeats appended per event; newest status per agent."""
+    ev = read_table(spark, sf_dir, "events")
+    hb = ev.select(
+        F.concat(F.lit("agent-"), F.col("user_id").cast("string")).alias("agent_id"),
+        F.col("event_type").alias("status"), F.col("ts").alias("created_at"),
+    )
+    return gov.latest_heartbeat(hb)
+
+
+# ---------------------------------------------------------------------------
+# Document search (Q-1, Q-2, L-4)
+# ---------------------------------------------------------------------------
+from fablake.operators import search as srch  # noqa: E402
+
+
+@register(
+    "index_documents",
+    """SELECT doc_id, 'doc-' || CAST(doc_id AS VARCHAR) AS title, length(text) AS n_chars, lang, source FROM documents""",
+)
+def index_documents(spark, sf_dir):
+    idx = srch.index_documents(read_table(spark, sf_dir, "documents"))
+    return idx.select(
+        "doc_id", "title", F.char_length("content").cast("bigint").alias("n_chars"),
+        F.get_json_object("metadata", "$.lang").alias("lang"), F.get_json_object("metadata", "$.source").alias("source"),
+    )
+
+
+@register(
+    "search_topk",
+    """WITH q AS (SELECT lower(substr(text, 11, 24)) AS q FROM documents ORDER BY doc_id LIMIT 1)
+SELECT doc_id, 'doc-' || CAST(doc_id AS VARCHAR) AS title, 1 AS score
+FROM documents, q WHERE contains(lower(text), q.q) ORDER BY doc_id LIMIT 5""",
+)
+def search_topk(spark, sf_dir):
+    """Q-2 single query (a phrase of the first document), top 5 by insertion order."""
+    first = read_table(spark, sf_dir, "documents").orderBy("doc_id").limit(1)
+    q = first.select(F.lower(F.substring("text", 11, 24)).alias("q"))
+    docs = srch.index_documents(read_table(spark, sf_dir, "documents"))
+    hits = docs.join(F.broadcast(q), F.contains(F.lower(F.col("content")), F.col("q")))
+    return hits.select("doc_id", "title", F.lit(1).alias("score")).orderBy(F.desc("score"), "doc_id").limit(5)
+
+
+@register(
+    "search_batch",
+    """WITH q AS (SELECT item_id AS query_id, lower(substr(text, 1, 40)) AS q FROM benchmark),
+hits AS (SELECT q.query_id, d.doc_id FROM q JOIN documents d ON contains(lower(d.text), q.q)),
+ranked AS (SELECT query_id, doc_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM hits)
+SELECT query_id, doc_id, 1 AS score, rank FROM ranked WHERE rank <= 5""",
+)
+def search_batch(spark, sf_dir):
+    """Q-2 for every benchmark passage at once: inverted-index pre-filter, verify, top 5."""
+    queries = read_table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("query")
+    )
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return srch.search_batch(docs, queries, 5).select("query_id", "doc_id", "score", "rank")
