@@ -1370,3 +1370,101 @@ def search_batch(spark, sf_dir):
     )
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
     return srch.search_batch(docs, queries, 5).select("query_id", "doc_id", "score", "rank")
+
+
+# ---------------------------------------------------------------------------
+# Reconciliation (J-7, R-1, A-8)
+# ---------------------------------------------------------------------------
+from fablake.operators import reconcile as rec  # noqa: E402
+
+
+def _reconcile(spark, sf_dir, drop_curated: bool = False):
+    r = _ingest(spark, sf_dir)
+    curated = r.lots.select(F.lit("mes").alias("source"), "request_id").unionByName(r.raws.select("source", "request_id"))
+    if drop_curated:
+        # one curated row lost per plm request key ending in 0: the stricter check must flag it
+        curated = curated.filter(~((F.col("source") == "plm") & F.col("request_id").endswith("0")))
+    return rec.reconcile(r.bronze, r.records, curated)
+
+
+RECONCILE_SQL = """,
+acc AS (SELECT source, request_id FROM req2 WHERE reason IS NULL),
+layers AS (
+  SELECT source, COUNT(*) AS bronze_count, COUNT(*) AS stream_count,
+         count_if(NOT (source = 'plm' AND request_id LIKE '%0')) AS curated_count
+  FROM acc GROUP BY source)"""
+
+
+@register(
+    "reconcile",
+    _ingest_sql(RECONCILE_SQL + """
+SELECT source, bronze_count, stream_count, curated_count,
+       CASE WHEN bronze_count > 0 AND stream_count > 0 AND curated_count > 0 THEN 'PASS' ELSE 'FAIL' END AS status,
+       bronze_count = stream_count AND stream_count = curated_count AS consistent
+FROM layers"""),
+)
+def reconcile(spark, sf_dir):
+    """J-7 / R-1: per-source counts over landing, stream and curated layers."""
+    return _reconcile(spark, sf_dir, drop_curated=True)
+
+
+@register(
+    "reconcile_overall",
+    _ingest_sql(RECONCILE_SQL + """
+SELECT CASE WHEN bool_and(bronze_count > 0 AND stream_count > 0 AND curated_count > 0) THEN 'PASS' ELSE 'FAIL' END
+         AS overall_status,
+       bool_and(bronze_count = stream_count AND stream_count = curated_count) AS all_consistent,
+       COUNT(*) AS n_checks
+FROM layers"""),
+)
+def reconcile_overall(spark, sf_dir):
+    """A-8: overall PASS only if no component failed."""
+    return rec.overall(_reconcile(spark, sf_dir, drop_curated=True))
+
+
+# ---------------------------------------------------------------------------
+# Streaming (X-1..X-5, S-16)
+# ---------------------------------------------------------------------------
+from fablake.session import scratch_path  # noqa: E402
+from fablake.streaming import ingest_stream as strm  # noqa: E402
+
+STREAM_COUNTS_SQL = _ingest_sql("""SELECT source, CASE WHEN reason IS NULL THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+       COUNT(*) AS n_requests FROM req2 GROUP BY ALL""")
+
+
+def _stream_run(spark, sf_dir, replay: bool):
+    base = scratch_path(spark, "stream")
+    landing, out, ckpt = f"{base}/landing", f"{base}/out", f"{base}/checkpoint"
+    strm.land_requests(ing.requests_from_tables(spark, sf_dir), landing, duplicate_file=replay)
+    strm.run_stream(spark, landing, out, ckpt)
+    if replay:
+        # a second run on the same checkpoint finds nothing new
+        strm.run_stream(spark, landing, out, ckpt)
+    return base, out
+
+
+@register("stream_ingest", STREAM_COUNTS_SQL)
+def stream_ingest(spark, sf_dir):
+    """X-1 / X-2: landing files drained by an availableNow stream; audit equals the batch run."""
+    _base, out = _stream_run(spark, sf_dir, replay=False)
+    audit = spark.read.parquet(f"{out}/ingestion_log")
+    return audit.groupBy("source", "status").agg(F.count(F.lit(1)).alias("n_requests"))
+
+
+@register("stream_replay", STREAM_COUNTS_SQL)
+def stream_replay(spark, sf_dir):
+    """X-3: a redelivered file and a re-run add no rows (watermarked de-duplication + checkpoint)."""
+    _base, out = _stream_run(spark, sf_dir, replay=True)
+    audit = spark.read.parquet(f"{out}/ingestion_log")
+    return audit.groupBy("source", "status").agg(F.count(F.lit(1)).alias("n_requests"))
+
+
+@register(
+    "stream_readback",
+    _ingest_sql("SELECT stream AS topic, COUNT(*) AS n_records FROM req2 WHERE reason IS NULL GROUP BY stream"),
+)
+def stream_readback(spark, sf_dir):
+    """X-4 / S-16: the topic records read back from the earliest offset."""
+    base, out = _stream_run(spark, sf_dir, replay=False)
+    rows = strm.read_back_topics(spark, out, f"{base}/readback-checkpoint")
+    return rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n_records"))

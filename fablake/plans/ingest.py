@@ -177,7 +177,7 @@ class IngestResult:
     def records(self) -> DataFrame:
         return self._ok.select(
             F.col("physical_stream").alias("topic"), F.col("request_id").alias("key"),
-            F.to_json("payload").alias("value"),
+            F.to_json("payload").alias("value"), "source",
         )
 
     @cached_property
