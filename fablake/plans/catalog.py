@@ -1468,3 +1468,44 @@ def stream_readback(spark, sf_dir):
     base, out = _stream_run(spark, sf_dir, replay=False)
     rows = strm.read_back_topics(spark, out, f"{base}/readback-checkpoint")
     return rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n_records"))
+
+
+# ---------------------------------------------------------------------------
+# Folder normalise job (S-1, S-2, S-14, F-6, L-5, K-2, A-9)
+# ---------------------------------------------------------------------------
+from fablake.sources import normalise as nz  # noqa: E402
+
+
+def land_folder(spark, sf_dir, root: str) -> None:
+    """Landing folder written by Spark from the tables, one file per partition value."""
+    c = read_table(spark, sf_dir, "customer").withColumn("chunk", (F.col("c_custkey") / 50).cast("long"))
+    c.repartition("chunk").write.mode("overwrite").partitionBy("chunk").option("header", True).csv(f"{root}/csv")
+    n = read_table(spark, sf_dir, "nation")
+    n.repartition("n_regionkey").write.mode("overwrite").partitionBy("n_regionkey").format("xml") \
+        .option("rowTag", "nation").option("rootTag", "nations").save(f"{root}/xml")
+    d = read_table(spark, sf_dir, "documents").select("lang", "text")
+    d.repartition("lang").write.mode("overwrite").partitionBy("lang").text(f"{root}/txt")
+    e = read_table(spark, sf_dir, "events")
+    e.repartition("event_type").write.mode("overwrite").partitionBy("event_type").json(f"{root}/json")
+    o = read_table(spark, sf_dir, "orders")
+    o.repartition("o_orderstatus").write.mode("overwrite").partitionBy("o_orderstatus").parquet(f"{root}/parquet")
+
+
+@register(
+    "normalise_folder",
+    """SELECT 'csv' AS folder, 'CSV' AS format, 'ok' AS status, COUNT(DISTINCT c_custkey // 50) AS n_files FROM customer
+UNION ALL SELECT 'xml', 'XML', 'ok', COUNT(DISTINCT n_regionkey) FROM nation
+UNION ALL SELECT 'txt', 'TEXT', 'ok', COUNT(DISTINCT lang) FROM documents
+UNION ALL SELECT 'json', 'JSON', 'rejected', COUNT(DISTINCT event_type) FROM events
+UNION ALL SELECT 'parquet', 'PARQUET', 'ok', COUNT(DISTINCT o_orderstatus) FROM orders""",
+)
+def normalise_folder(spark, sf_dir):
+    """S-14: every file below a landing root parsed by its extension; JSON-lines files are
+    not one JSON document, so they are rejected file by file without aborting the folder."""
+    root = scratch_path(spark, "landing")
+    land_folder(spark, sf_dir, root)
+    docs = nz.normalise_folder(spark, root, "normalized")
+    return docs.groupBy(
+        F.regexp_extract("rel_path", r"^([^/]+)/", 1).alias("folder"), "format",
+        F.when(F.col("doc").isNotNull(), "ok").otherwise("rejected").alias("status"),
+    ).agg(F.count(F.lit(1)).alias("n_files"))
