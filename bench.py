@@ -60,6 +60,7 @@ def main() -> None:
         t0 = time.time()
         for n in names:
             QUERIES[n](spark, warm_dir).write.format("noop").mode("overwrite").save()
+            print(f"warm {n}: {time.time() - t0:.1f}s", file=sys.stderr, flush=True)
         warm_s = time.time() - t0
         spark.catalog.clearCache()
 
@@ -68,6 +69,7 @@ def main() -> None:
         t0 = time.time()
         QUERIES[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
         timings[n] = round(time.time() - t0, 3)
+        print(f"{n}: {timings[n]}s", file=sys.stderr, flush=True)
         spark.catalog.clearCache()
 
     m = re.search(r"sf([0-9.]+)", sf_dir)

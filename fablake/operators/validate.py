@@ -50,7 +50,7 @@ def validate_by_source(df: DataFrame, sources: list[str], payload: str = "payloa
     src = F.col(source_col)
     out = None
     for s in sources:
-        part = validate(df.filter(src == F.lit(s)), reg.rule(s), payload, cache_key=f"source:{s}")
+        part = validate(df.filter(src == F.lit(s)), reg.rule(s), payload, cache_key=f"{id(reg)}:{s}:{reg.source(s).schema}")
         out = part if out is None else out.unionByName(part)
     rest = df.filter(~src.isin(*sources) | src.isNull()).withColumn(
         "errors", F.array().cast("array<string>")

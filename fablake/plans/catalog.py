@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fablake.operators import lineage as lin
+from fablake.session import spread
 from fablake.plans import fixtures as fx
 from fablake.plans import oracle as orc
 
@@ -694,7 +695,7 @@ def resolve_format(spark, sf_dir):
 
 
 def _json_docs(spark, sf_dir):
-    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    ev = spread(read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
     eid = F.col("event_id")
     text = (
         F.when(eid % 101 == 0, F.concat(F.lit('{"event_id": '), eid.cast("string")))
@@ -758,10 +759,12 @@ def _csv_docs(spark, sf_dir):
 def normalise_csv(spark, sf_dir):
     """S-9: CSV bodies -> {columns, rows, row_count}; rows read back typed."""
     parsed = prs.parse_csv(_csv_docs(spark, sf_dir))
+    # explode_outer + filter: a plain explode infers size(...) > 0 and pushes that filter
+    # below the parser, which would run the whole CSV parse twice
     rows = parsed.select(
         "chunk",
-        F.explode(F.try_variant_get(F.try_parse_json("doc"), "$.rows", "array<map<string,string>>")).alias("r"),
-    )
+        F.explode_outer(F.try_variant_get(F.try_parse_json("doc"), "$.rows", "array<map<string,string>>")).alias("r"),
+    ).filter(F.col("r").isNotNull())
     return rows.select(
         "chunk",
         F.col("r")["c_custkey"].cast("bigint").alias("c_custkey"),
@@ -841,7 +844,7 @@ def normalise_yaml(spark, sf_dir):
 
 
 def _text_docs(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     raw = F.encode(F.col("text"), "UTF-8")
     bad = F.concat(raw, F.unhex(F.lit("FF")))
     return d.select("doc_id", F.when(F.col("doc_id") % 37 == 0, bad).otherwise(raw).alias("content"))
@@ -1368,7 +1371,7 @@ def search_batch(spark, sf_dir):
     queries = read_table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("query")
     )
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")))
     return srch.search_batch(docs, queries, 5).select("query_id", "doc_id", "score", "rank")
 
 
@@ -1425,7 +1428,7 @@ def reconcile_overall(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Streaming (X-1..X-5, S-16)
 # ---------------------------------------------------------------------------
-from fablake.session import scratch_path  # noqa: E402
+from fablake.session import scratch_path, spread  # noqa: E402
 from fablake.streaming import ingest_stream as strm  # noqa: E402
 
 STREAM_COUNTS_SQL = _ingest_sql("""SELECT source, CASE WHEN reason IS NULL THEN 'SUCCESS' ELSE 'FAILED' END AS status,
@@ -1509,3 +1512,42 @@ def normalise_folder(spark, sf_dir):
         F.regexp_extract("rel_path", r"^([^/]+)/", 1).alias("folder"), "format",
         F.when(F.col("doc").isNotNull(), "ok").otherwise("rejected").alias("status"),
     ).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@register(
+    "stream_promote",
+    _ingest_sql("""SELECT source, COALESCE(event_type, '') AS event_type, COUNT(*) AS n_events
+FROM req2 WHERE reason IS NULL GROUP BY ALL"""),
+)
+def stream_promote(spark, sf_dir):
+    """X-4 / X-5: topics loaded to silver and aggregated to gold by a chained stream."""
+    base, out = _stream_run(spark, sf_dir, replay=False)
+    gold = strm.promote_topics(spark, out, f"{base}/promote-checkpoint")
+    g = spark.read.parquet(gold)
+    return g.groupBy("source", F.coalesce("event_type", F.lit("")).alias("event_type")).agg(
+        F.sum("n_events").cast("bigint").alias("n_events")
+    )
+
+
+@register(
+    "object_exists",
+    """SELECT 'csv' AS folder, COUNT(DISTINCT c_custkey // 50) AS n_present, 1 AS n_missing,
+       COUNT(DISTINCT c_custkey // 50) AS n_written FROM customer""",
+)
+def object_exists(spark, sf_dir):
+    """S-3 for a key set: requested keys (every landed CSV file plus one absent key) checked
+    against the listing; K-2 writes the normalised documents, read back and counted."""
+    root = scratch_path(spark, "landing")
+    land_folder(spark, sf_dir, root)
+    listing = nz.list_objects(spark, root, with_content=False)
+    wanted = listing.filter(F.col("path").endswith(".csv")).select("path").unionByName(
+        spark.createDataFrame([(f"file:{root}/csv/missing.csv",)], "path string")
+    )
+    flagged = nz.exists_flag(listing, wanted)
+    docs = nz.normalise_folder(spark, root, "normalized").filter(F.col("format") == "CSV")
+    out_root = f"{root}-normalized"
+    nz.write_normalised(docs, out_root)
+    written = spark.read.json(out_root).count()
+    return flagged.agg(
+        F.count_if("exists").alias("n_present"), F.count_if(~F.col("exists")).alias("n_missing")
+    ).select(F.lit("csv").alias("folder"), "n_present", "n_missing", F.lit(written).cast("bigint").alias("n_written"))

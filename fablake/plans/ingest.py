@@ -44,11 +44,8 @@ def parse_iso_timestamp(s: Column) -> Column:
     """P-4: ISO 8601 text (Z or offset, optional fraction) -> timestamp; NULL when not parsable."""
     norm = F.regexp_replace(s, "Z$", "+00:00")
     ts = F.coalesce(
-        F.try_to_timestamp(norm, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX")),
-        F.try_to_timestamp(norm, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")),
-        F.try_to_timestamp(norm, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX")),
-        F.try_to_timestamp(norm, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]")),
-        F.try_to_timestamp(norm, F.lit("yyyyMMdd'T'HHmmssXXX")),
+        F.try_to_timestamp(norm, F.lit("yyyy-MM-dd['T'][' ']HH:mm:ss[.SSSSSS][XXX]")),
+        F.try_to_timestamp(norm, F.lit("yyyyMMdd'T'HHmmss[XXX]")),
     )
     return ts.cast("timestamp_ntz")
 
@@ -82,8 +79,11 @@ def check(requests: DataFrame, batch_time: dt.datetime, reg: Registry | None = N
 
     mapping = reg.mappings.get("mes", {}).get("fields", {})
     ts_field = next((f for f, c in mapping.items() if c == "event_timestamp"), "timestamp")
-    event_ts = parse_iso_timestamp(F.try_variant_get("payload", f"$.{ts_field}", "string"))
     curated_table = _curated_table(reg)
+    # only rows bound for a dedicated table need their timestamp parsed (P-4)
+    event_ts = F.when(
+        curated_table != "raw_events", parse_iso_timestamp(F.try_variant_get("payload", f"$.{ts_field}", "string"))
+    )
 
     reason = (
         F.when(F.col("_known").isNull(), F.lit("unknown_source"))

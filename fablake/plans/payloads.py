@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fablake.registry import load_registry
+from fablake.session import spread
 from fablake.sources.tables import read_table
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -24,6 +25,34 @@ def jnum(c: Column) -> Column:
     return c.cast("string")
 
 
+def vs(c: Column) -> Column:
+    """A JSON string value (VARIANT)."""
+    return c.cast("string").cast("variant")
+
+
+def vn(c: Column) -> Column:
+    """A JSON number / boolean value (VARIANT)."""
+    return c.cast("variant")
+
+
+def json_null() -> Column:
+    return F.parse_json(F.lit("null"))
+
+
+def absent() -> Column:
+    return F.lit(None).cast("variant")
+
+
+def vobj(*pairs: tuple[str, Column]) -> Column:
+    """One JSON object per row in a single serializer call: a SQL NULL value drops
+    the key, ``json_null()`` writes an explicit null."""
+    return F.struct(*[v.alias(k) for k, v in pairs])
+
+
+def vtext(obj: Column) -> Column:
+    return F.to_json(obj)
+
+
 def jobj(*pairs: tuple[str, Column | None]) -> Column:
     """JSON object text; a NULL value column means the key is absent."""
     frags = [F.concat(F.lit(f'"{k}":'), v) for k, v in pairs if v is not None]
@@ -39,24 +68,24 @@ def jobj(*pairs: tuple[str, Column | None]) -> Column:
 
 
 def mes_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem")
+    li = spread(read_table(spark, sf_dir, "lineitem"))
     d = F.col("l_partkey") % 11
     qty = F.col("l_quantity").cast("int")
-    payload = jobj(
-        ("eventType", F.when(d == 3, jstr(F.lit("LOT_STARTED"))).otherwise(jstr(F.lit("LOT_COMPLETED")))),
-        ("lotId", F.when(d == 0, None).when(d == 5, jstr(F.concat(F.lit("LOT#"), F.col("l_orderkey"))))
-         .otherwise(jstr(F.concat(F.lit("LOT-"), F.col("l_orderkey"))))),
-        ("recipeId", jstr(F.concat(F.lit("REC"), F.col("l_suppkey")))),
-        ("equipmentId", F.when(d == 7, F.lit("null")).otherwise(jstr(F.concat(F.lit("EQ"), F.col("l_linenumber"))))),
-        ("waferCount", F.when(d == 1, jstr(qty)).when(d == 2, F.lit("0")).otherwise(jnum(qty))),
-        ("temperature", jnum(F.col("l_extendedprice") / 100)),
-        ("timestamp", F.when(d == 6, jstr(F.lit("not-a-timestamp"))).otherwise(jstr(F.date_format("l_shipdate", ISO)))),
-        ("operator", F.when(d == 4, jstr(F.lit("night")))),
+    payload = vobj(
+        ("eventType", vs(F.when(d == 3, F.lit("LOT_STARTED")).otherwise(F.lit("LOT_COMPLETED")))),
+        ("lotId", F.when(d == 0, absent()).otherwise(
+            vs(F.concat(F.when(d == 5, F.lit("LOT#")).otherwise(F.lit("LOT-")), F.col("l_orderkey").cast("string"))))),
+        ("recipeId", vs(F.concat(F.lit("REC"), F.col("l_suppkey").cast("string")))),
+        ("equipmentId", F.when(d == 7, json_null()).otherwise(vs(F.concat(F.lit("EQ"), F.col("l_linenumber").cast("string"))))),
+        ("waferCount", F.when(d == 1, vs(qty)).when(d == 2, vn(F.lit(0))).otherwise(vn(qty))),
+        ("temperature", vn(F.col("l_extendedprice") / 100)),
+        ("timestamp", vs(F.when(d == 6, F.lit("not-a-timestamp")).otherwise(F.date_format("l_shipdate", ISO)))),
+        ("operator", F.when(d == 4, vs(F.lit("night"))).otherwise(absent())),
     )
     return li.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.lit("mes").alias("source"),
-        payload.alias("payload_text"),
+        vtext(payload).alias("payload_text"),
     )
 
 
@@ -66,48 +95,54 @@ def mes_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    ev = spread(read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
     d = F.col("event_id") % 7
-    ts = jstr(F.date_format("ts", ISO))
+    ts = vs(F.date_format("ts", ISO))
     eid = F.col("event_id")
-    erp = jobj(
-        ("eventType", jstr(F.lit("WORK_ORDER_RELEASED"))),
-        ("workOrderId", F.when(d == 0, jnum(eid)).otherwise(jstr(F.concat(F.lit("WO-"), eid)))),
-        ("timestamp", F.when(d != 1, ts)),
-        ("plant", jstr(F.concat(F.lit("P"), F.col("user_id") % 5))),
-        ("priority", jnum(F.col("value"))),
+    uid = F.col("user_id")
+
+    def when(cond: Column, value: Column) -> Column:
+        return F.when(cond, value).otherwise(absent())
+
+    erp = vobj(
+        ("eventType", vs(F.lit("WORK_ORDER_RELEASED"))),
+        ("workOrderId", F.when(d == 0, vn(eid)).otherwise(vs(F.concat(F.lit("WO-"), eid.cast("string"))))),
+        ("timestamp", when(d != 1, ts)),
+        ("plant", vs(F.concat(F.lit("P"), (uid % 5).cast("string")))),
+        ("priority", vn(F.col("value"))),
     )
-    equipment = jobj(
-        ("eventType", F.when(d != 1, jstr(F.lit("STATUS_CHANGED")))),
-        ("equipmentId", F.when(d == 0, F.lit("null")).otherwise(jstr(F.concat(F.lit("EQ-"), F.col("user_id"))))),
+    equipment = vobj(
+        ("eventType", when(d != 1, vs(F.lit("STATUS_CHANGED")))),
+        ("equipmentId", F.when(d == 0, json_null()).otherwise(vs(F.concat(F.lit("EQ-"), uid.cast("string"))))),
         ("timestamp", ts),
-        ("status", jstr(F.lit("IDLE"))),
+        ("status", vs(F.lit("IDLE"))),
     )
-    plm = jobj(
-        ("eventType", F.when(d == 1, jstr(F.lit("ECO_DRAFT"))).otherwise(jstr(F.lit("ECO_RELEASED")))),
-        ("changeOrderId", jstr(F.concat(F.lit("ECO-"), eid))),
-        ("partNumber", F.when(d != 2, jstr(F.concat(F.lit("PN-"), F.col("user_id"))))),
-        ("lifecycleState", F.when(d == 0, jstr(F.lit("ARCHIVED"))).otherwise(jstr(F.lit("RELEASED")))),
-        ("owner", F.when(d == 3, jnum(F.col("user_id"))).otherwise(jstr(F.concat(F.lit("u"), F.col("user_id"))))),
+    plm = vobj(
+        ("eventType", vs(F.when(d == 1, F.lit("ECO_DRAFT")).otherwise(F.lit("ECO_RELEASED")))),
+        ("changeOrderId", vs(F.concat(F.lit("ECO-"), eid.cast("string")))),
+        ("partNumber", when(d != 2, vs(F.concat(F.lit("PN-"), uid.cast("string"))))),
+        ("lifecycleState", vs(F.when(d == 0, F.lit("ARCHIVED")).otherwise(F.lit("RELEASED")))),
+        ("owner", F.when(d == 3, vn(uid)).otherwise(vs(F.concat(F.lit("u"), uid.cast("string"))))),
         ("timestamp", ts),
     )
-    metrics = F.when(d == 2, F.lit("5")).otherwise(
-        jobj(
-            ("temperature", F.when(d == 1, jstr(F.col("value"))).when(d == 3, F.lit("true")).otherwise(jnum(F.col("value")))),
-            ("pressure", F.when(d != 0, jnum(F.col("user_id")))),
-        )
+    temperature = F.when(d == 1, vs(F.col("value"))).when(d == 3, vn(F.lit(True))).otherwise(vn(F.col("value")))
+    # to_variant_object keeps NULL fields as JSON null, so the missing key gets its own struct
+    metrics = (
+        F.when(d == 2, vn(F.lit(5)))
+        .when(d == 0, F.to_variant_object(vobj(("temperature", temperature))))
+        .otherwise(F.to_variant_object(vobj(("temperature", temperature), ("pressure", vn(uid)))))
     )
-    telemetry = jobj(
-        ("eventType", jstr(F.lit("TELEMETRY"))),
-        ("equipmentId", jstr(F.concat(F.lit("EQ-"), F.col("user_id")))),
+    telemetry = vobj(
+        ("eventType", vs(F.lit("TELEMETRY"))),
+        ("equipmentId", vs(F.concat(F.lit("EQ-"), uid.cast("string")))),
         ("timestamp", ts),
         ("metrics", metrics),
     )
     et = F.col("event_type")
     src = (F.when(et == "purchase", "erp").when(et == "view", "equipment")
            .when(et == "signup", "plm").when(et == "error", "telemetry"))
-    text = (F.when(et == "purchase", erp).when(et == "view", equipment)
-            .when(et == "signup", plm).when(et == "error", telemetry))
+    text = (F.when(et == "purchase", vtext(erp)).when(et == "view", vtext(equipment))
+            .when(et == "signup", vtext(plm)).when(et == "error", vtext(telemetry)))
     return ev.filter(et != "click").select("event_id", src.alias("source"), text.alias("payload_text"))
 
 
@@ -252,7 +287,7 @@ def multiformat_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = load_registry()
     cats = list(reg.categories)
     fmts = reg.formats()
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     cat = F.element_at(F.array(*[F.lit(c) for c in cats]), (F.col("doc_id") % len(cats) + 1).cast("int"))
     fmt = F.element_at(F.array(*[F.lit(f) for f in fmts]), (F.col("doc_id") % len(fmts) + 1).cast("int"))
     env = F.to_json(

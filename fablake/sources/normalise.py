@@ -35,6 +35,12 @@ def existing(listing: DataFrame, keys: DataFrame, key_col: str = "path") -> tupl
     return keys.join(paths, key_col, "left_semi"), keys.join(paths, key_col, "left_anti")
 
 
+def exists_flag(listing: DataFrame, keys: DataFrame, key_col: str = "path") -> DataFrame:
+    """S-3 as a column: every requested key with ``exists``."""
+    paths = listing.select(F.col("path").alias(key_col)).withColumn("_hit", F.lit(True))
+    return keys.join(paths, key_col, "left").withColumn("exists", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
 def normalise_folder(spark: SparkSession, root: str, out_prefix: str, declared: str | None = None,
                      limit: int | None = None) -> DataFrame:
     """Returns (path, rel_path, format, output_key, doc, reject) for every listed file."""

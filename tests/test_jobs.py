@@ -98,3 +98,44 @@ def test_positional_lineage_smoke(spark):
     mism = lin.filter(F.col("curated_record_id") != F.col("ingestion_log_id")).count()
     assert mism == 0 and lin.filter(F.col("curated_record_id").isNull()).count() == 0
     assert QUERIES["lineage_drift"](spark, SMOKE).count() > 0
+
+
+def _custom_registry(**changes):
+    import copy
+
+    import yaml
+
+    from fablake.registry import REGISTRY_FILE, parse_registry
+
+    raw = yaml.safe_load(REGISTRY_FILE.read_text())
+    raw = copy.deepcopy(raw)
+    for name, cfg in changes.items():
+        raw["sources"][name] = cfg
+    return parse_registry(raw)
+
+
+def test_disabled_source_and_new_source_by_config(spark):
+    """F-4: a disabled source is quarantined (500); D-3: a registry entry alone adds a source."""
+    from fablake.plans import ingest as ing
+
+    reg = _custom_registry(
+        plm={**{"endpoint": "/plm/events", "schema": "rules/plm_lifecycle_event.json", "target_table": "raw_events",
+                "stream": "plm", "raw_bucket": "b"}, "enabled": False},
+        scada={"endpoint": "/scada/events", "schema": "rules/equipment_event.json", "target_table": "raw_events",
+               "stream": "quality", "raw_bucket": "b", "raw_prefix": "ot/scada"},
+    )
+    body = json.dumps({"eventType": "ALARM", "equipmentId": "E1", "timestamp": "2024-01-01T00:00:00Z"}).encode()
+    req = spark.createDataFrame(
+        [("k1", "scada", "application/json", body), ("k2", "plm", "application/json", body)],
+        "request_key string, source string, content_type string, body binary",
+    )
+    r = ing.run(req, ing.BATCH_TIME, reg)
+    acc = {x.source: x for x in r.accepted.collect()}
+    assert acc["scada"].stream == "quality-events" and acc["scada"].s3_key.startswith("ot/scada/2024/02/01/scada-")
+    q = {x.source: (x.reason, x.http_status) for x in r.quarantine.collect()}
+    assert q == {"plm": ("configuration", 500)}
+
+
+def test_missing_mandatory_field_is_reported():
+    reg = _custom_registry(broken={"endpoint": "/x"})
+    assert any("broken" in e for e in reg.errors) and "broken" not in reg.sources
