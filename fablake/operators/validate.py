@@ -12,13 +12,15 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fablake.functions.jsondoc import strict_parse_json
+
 from fablake.functions.jsonschema import compile_rule, error_text
 from fablake.registry import Registry, load_registry
 
 
 def parse_payload(text: Column) -> Column:
     """S-7: UTF-8-checked JSON text -> VARIANT; NULL means malformed (quarantine)."""
-    return F.try_parse_json(text)
+    return strict_parse_json(text)
 
 
 def validate(df: DataFrame, rule: dict[str, Any], payload: str = "payload", cache_key: str | None = None) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fablake.functions.jsondoc import strict_parse_json
+
 from fablake.functions.ids import content_id
 from fablake.operators import validate as val
 from fablake.registry import Registry, load_registry, sources_frame, streams_frame
@@ -73,7 +75,7 @@ def check(requests: DataFrame, batch_time: dt.datetime, reg: Registry | None = N
     routed = _route(requests, reg)
     fmt = resolve_format(F.col("content_type"), F.when(F.col("input_format") != "AUTO", F.col("input_format")))
     text = F.try_validate_utf8(F.col("body").cast("string"))
-    parsed = routed.withColumn("format", fmt).withColumn("payload", F.try_parse_json(text))
+    parsed = routed.withColumn("format", fmt).withColumn("payload", strict_parse_json(text))
     # validation: every rule in one pass, each row checked by its own source's rule
     allrows = val.validate_by_source(parsed, list(reg.sources), "payload", "source", reg)
 

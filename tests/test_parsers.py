@@ -40,7 +40,8 @@ def test_csv_matches_python_reader(spark):
 
 
 def test_json_wraps_and_rejects(spark):
-    bodies = [b'{"a": 1}', b"[1, 2]", b"12.5", b'"x"', b"{bad", b"\xff\xfe"]
+    bodies = [b'{"a": 1}', b"[1, 2]", b"12.5", b'"x"', b"{bad", b"\xff\xfe",
+              b'{"a": 1}\n{"b": 2}', b'{"a": 1} x', b"1,2", b"1],[2", b"  ", b' {"a": 1} \n']
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, content binary")
     out = {r.i: r for r in prs.parse_json(df).collect()}
     assert json.loads(out[0].doc) == {"a": 1}
@@ -49,6 +50,10 @@ def test_json_wraps_and_rejects(spark):
     assert json.loads(out[3].doc) == {"value": "x"}
     assert out[4].doc is None and out[4].reject
     assert out[5].doc is None and "UTF-8" in out[5].reject
+    # one document only: JSON lines, trailing content and bare lists are rejected (as json.loads does)
+    for i in (6, 7, 8, 9, 10):
+        assert out[i].doc is None, bodies[i]
+    assert json.loads(out[11].doc) == {"a": 1}
 
 
 def test_text_binary(spark):
