@@ -932,7 +932,9 @@ def _prefix_sql(src: str) -> str:
 REQUESTS_SQL = f"""
 req AS (
   SELECT 'li-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' ||
-         CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS request_key, 'mes' AS source,
+         CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-' ||
+         CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || '-' || strftime(l_shipdate, '%Y%m%d') AS request_key,
+         'mes' AS source,
          CASE WHEN l_partkey % 11 IN (0, 1, 2, 3, 4, 5, 7) THEN 'validation' WHEN l_partkey % 11 = 6 THEN 'validation' END AS reason,
          CASE WHEN l_partkey % 11 = 6 THEN 'Curated timestamp is not ISO 8601'
               WHEN l_partkey % 11 IN (0, 1, 2, 3, 4, 5, 7) THEN 'Payload failed schema validation: ' || ({MES_EXPECTED}) END AS error_message,

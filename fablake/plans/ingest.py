@@ -246,7 +246,8 @@ def requests_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fablake.sources.tables import read_table
 
     mes = pl.mes_payloads(spark, sf_dir).select(
-        F.concat_ws("-", F.lit("li"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("request_key"),
+        F.concat_ws("-", F.lit("li"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.col("l_quantity").cast("int"), F.date_format("l_shipdate", "yyyyMMdd")).alias("request_key"),
         "source", F.lit("application/json").alias("content_type"), F.encode("payload_text", "UTF-8").alias("body"),
     )
     ev = pl.event_payloads(spark, sf_dir)

@@ -83,7 +83,7 @@ def mes_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("operator", F.when(d == 4, vs(F.lit("night"))).otherwise(absent())),
     )
     return li.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate",
         F.lit("mes").alias("source"),
         vtext(payload).alias("payload_text"),
     )
