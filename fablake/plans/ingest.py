@@ -43,13 +43,12 @@ def _ts_literal(batch_time: dt.datetime) -> Column:
 
 
 def parse_iso_timestamp(s: Column) -> Column:
-    """P-4: ISO 8601 text (Z or offset, optional fraction) -> timestamp; NULL when not parsable."""
-    norm = F.regexp_replace(s, "Z$", "+00:00")
-    ts = F.coalesce(
-        F.try_to_timestamp(norm, F.lit("yyyy-MM-dd['T'][' ']HH:mm:ss[.SSSSSS][XXX]")),
-        F.try_to_timestamp(norm, F.lit("yyyyMMdd'T'HHmmss[XXX]")),
-    )
-    return ts.cast("timestamp_ntz")
+    """P-4: ISO 8601 text (T or space, Z or offset, optional fraction) -> UTC timestamp;
+    NULL when not parsable. The built-in cast handles the extended form; only the
+    compact basic form needs a pattern, and only rows the cast rejects try it."""
+    cast = s.try_cast("timestamp")
+    compact = F.try_to_timestamp(F.regexp_replace(s, "Z$", "+00:00"), F.lit("yyyyMMdd'T'HHmmss[XXX]"))
+    return F.coalesce(cast, F.when(s.rlike(r"^\d{8}T"), compact)).cast("timestamp_ntz")
 
 
 def _route(requests: DataFrame, reg: Registry) -> DataFrame:
@@ -75,7 +74,11 @@ def check(requests: DataFrame, batch_time: dt.datetime, reg: Registry | None = N
     routed = _route(requests, reg)
     fmt = resolve_format(F.col("content_type"), F.when(F.col("input_format") != "AUTO", F.col("input_format")))
     text = F.try_validate_utf8(F.col("body").cast("string"))
-    parsed = routed.withColumn("format", fmt).withColumn("payload", strict_parse_json(text))
+    parsed = (
+        routed.withColumn("format", fmt).withColumn("payload", strict_parse_json(text)).drop("body")
+        # every source branch below filters this relation: read and parse the input once
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     # validation: every rule in one pass, each row checked by its own source's rule
     allrows = val.validate_by_source(parsed, list(reg.sources), "payload", "source", reg)
 

@@ -79,7 +79,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     work (parsing, validation, tokenising) would then run on one core. At
     scale the input already has many partitions and this is a no-op.
     """
+    from pyspark.sql import functions as F
+
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        # hash of the whole row: deterministic on retry, and no local sort as a
+        # round-robin repartition needs for that
+        return df.repartition(target, F.xxhash64(*[F.col(c) for c in df.columns]))
     return df
