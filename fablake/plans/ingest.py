@@ -74,11 +74,7 @@ def check(requests: DataFrame, batch_time: dt.datetime, reg: Registry | None = N
     routed = _route(requests, reg)
     fmt = resolve_format(F.col("content_type"), F.when(F.col("input_format") != "AUTO", F.col("input_format")))
     text = F.try_validate_utf8(F.col("body").cast("string"))
-    parsed = (
-        routed.withColumn("format", fmt).withColumn("payload", strict_parse_json(text)).drop("body")
-        # every source branch below filters this relation: read and parse the input once
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    parsed = routed.withColumn("format", fmt).withColumn("payload", strict_parse_json(text)).drop("body")
     # validation: every rule in one pass, each row checked by its own source's rule
     allrows = val.validate_by_source(parsed, list(reg.sources), "payload", "source", reg)
 
