@@ -27,20 +27,21 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.filter("u <> v").unionByName(least.withColumnRenamed("m", "v")).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v") % 1_000_003)).first())
+def _are_stars(links: DataFrame) -> bool:
+    """Whether no node is the greater end of one link and the smaller end of another."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("end")).unionByName(links.select(F.col("v").alias("node"), F.lit(2).alias("end")))
+    both = ends.groupBy("node").agg(F.bit_or("end").alias("ends"), F.count_if(F.col("end") == 1).alias("above"))
+    # a greater end with two smaller ones is no star either
+    return both.filter("ends = 3 or above > 1").limit(1).count() == 0
 
 
 def components(links: DataFrame) -> DataFrame:
     """``links`` (u, v), any order, repeated links and loops allowed -> (node, component), the
     component being the smallest node reachable.  Nodes without a link are not returned.
     Null ends are ignored."""
-    links = kept(links.select("u", "v").filter("u <> v").distinct(), "links")
-    state = _state(links)
-    while state[0]:
+    links = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    links = kept(links, "links")
+    while not _are_stars(links):
         links = kept(_small_star(_large_star(links)), "links")
-        before, state = state, _state(links)
-        if before == state:
-            break
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component")).distinct()

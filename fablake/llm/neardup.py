@@ -8,15 +8,16 @@ needs about t ln t hash values instead of t for each shingle, and two sketches a
 of coordinates that concentrates around the Jaccard similarity.
 
 *Banding.*  ``BANDS`` bands of ``ROWS`` coordinates.  Two sets of similarity 0.75 share no band with
-a chance of (1 - 0.75^4)^32, about 5 in a million; at 0.8 it is 5 in a hundred million.
+a chance of (1 - 0.75^5)^51, about one in a million; at 0.8 it is one in a thousand million.
 
 *Verification* is exact, on the full sets of both texts (64-bit shingle hashes).
 
 Groups of copies never meet pair by pair.  Texts with equal sets are one class first.  In a bucket,
-each class is compared with one hub; linked classes form components; buckets that still hold
-several components get another hub, and after ``HUB_ROUNDS`` rounds every remaining pair of a bucket
-that lies in two components is compared.  Pairs already in one component cannot change the result,
-so they are the only ones left out.
+each class is compared with two hubs, and linked classes form components.  A bucket that then holds one
+component is done: its other pairs cannot change the result.  Classes of the other buckets (most share
+a frequent passage and little else) are joined exactly, by prefix filtering: shingles are ordered by how
+many of these classes have them, and two sets of similarity 0.75 must share one of the rarest
+n - ceil(0.75 n) + 1 of each.  A passage that many hold is at the end of that order and proposes nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fablake.llm import textscan as ts
@@ -34,17 +35,18 @@ from fablake.llm.components import components
 
 SHINGLE = 5
 PERCENT = 75
-COORDINATES, BANDS, ROWS = 128, 32, 4
-HUB_ROUNDS = 3
-#: Remaining pairs for each row of the open buckets up to which they are all compared at once.
-PAIRS_A_ROW = 16
-#: Two bits of each coordinate make a 256-bit digest. At similarity 0.75 two digests differ in 32
-#: bits on average, standard deviation 6.3; 75 is 6.8 deviations more. It only saves comparisons.
-DIGEST_BITS_APART = 75
+COORDINATES, BANDS, ROWS = 256, 51, 5
+#: Two bits of each coordinate make a digest. At similarity 0.75 two digests differ in 48 of 256
+#: places on average, standard deviation 6.2; 80 is 5.2 deviations more. It only saves comparisons.
+DIGEST_LONGS, PLACES_APART = 8, 80
+#: Up to so many ids (8 bytes each) are broadcast to pick texts out of the documents.
+BROADCAST_IDS = 500_000
+#: Pairs whose sets are held at a time.
+VERIFY_ROWS = 256
 U64 = np.uint64
 _WORD = ts.stream(2, SHINGLE)
 _ROUND = ts.stream(3, 2 * COORDINATES)
-_ROW = ts.stream(4, COORDINATES).reshape(BANDS, ROWS)
+_ROW = ts.stream(4, BANDS * ROWS).reshape(BANDS, ROWS)
 _SET = ts.stream(5, 2)
 
 
@@ -77,20 +79,23 @@ def shingle_sets(scan: ts.Scan) -> tuple[np.ndarray, np.ndarray]:
 
 def sketches(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The sketch of each set, one row each; rows of empty sets are undefined."""
-    t, rows = COORDINATES, len(at) - 1
+    t, rows, free = COORDINATES, len(at) - 1, np.iinfo(U64).max
     text = ts.text_index(at)
-    out = np.full((rows, t), np.iinfo(U64).max, U64)
+    out = np.full((rows, t), free, U64)
     flat = out.reshape(-1)
-    open_sets = np.diff(at) > 0
+    open_sets = np.flatnonzero(np.diff(at) > 0)
     for r in range(2 * t):
         if not len(hashes):
             break
         g = ts.mix(hashes ^ _ROUND[r])
         bins = (g & U64(t - 1)).astype(np.int64) if r < t else np.full(len(g), r - t)
-        np.minimum.at(flat, text * t + bins, (g >> U64(8)) | U64(r << 56))
-        open_sets &= (out == np.iinfo(U64).max).any(axis=1)
-        go_on = open_sets[text]
-        if not go_on.all():
+        np.minimum.at(flat, text * t + bins, (g >> U64(9)) | U64(r << 55))
+        still = (out[open_sets] == free).any(axis=1)
+        if not still.all():
+            open_sets = open_sets[still]
+            go_on = np.zeros(rows, bool)
+            go_on[open_sets] = True
+            go_on = go_on[text]
             hashes, text = hashes[go_on], text[go_on]
     return out
 
@@ -115,7 +120,7 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketch = sketches(hashes, at)
             bands = np.stack([ts.mix((sketch[:, b * ROWS: (b + 1) * ROWS] * _ROW[b]).sum(axis=1, dtype=U64) + U64(b))
                               for b in range(BANDS)], axis=1)
-            two_bits = (sketch & U64(3)).reshape(scan.rows, 4, COORDINATES // 4)
+            two_bits = (sketch & U64(3)).reshape(scan.rows, DIGEST_LONGS, 32)
             digest = (two_bits << (np.arange(32, dtype=U64) * U64(2))).sum(axis=2, dtype=U64)
             identity = [ts.sums(ts.mix(hashes ^ s), at).view(np.int64) for s in _SET]
             yield pa.RecordBatch.from_arrays(
@@ -128,39 +133,99 @@ _VERDICT = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_(
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v, text of u, text of v) -> whether 100 * intersection >= PERCENT * union of the full sets."""
-    for batch in batches:
-        rows = batch.num_rows
-        linked = np.zeros(rows, bool)
-        right = ((scan.first, *shingle_sets(scan)) for scan in ts.scans(batch, "v_text"))
-        sets_v = ((first + k, h[a[k]: a[k + 1]]) for first, h, a in right for k in range(len(a) - 1))
-        for scan in ts.scans(batch, "u_text"):
-            h, at = shingle_sets(scan)
-            for k in range(scan.rows):
-                row, other = next(sets_v)
-                mine = h[at[k]: at[k + 1]]
-                common = len(mine) + len(other) - len(np.union1d(mine, other))
-                union = len(mine) + len(other) - common
-                linked[row] = union > 0 and 100 * common >= PERCENT * union
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], schema=_VERDICT)
-
-
-def _compare(pairs: DataFrame, about: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified pairs (u, v, linked).  Size and digest rule most pairs out before a text is fetched:
-    sizes apart by more than the threshold exclude a link for certain."""
-    left = about.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("u_n"), F.col("digest").alias("u_d"))
-    right = about.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("v_n"), F.col("digest").alias("v_d"))
-    apart = sum((F.bit_count(F.col("u_d")[i].bitwiseXOR(F.col("v_d")[i])) for i in range(4)), F.lit(0))
-    near = (pairs.join(left, "u").join(right, "v")
-            .filter((100 * F.least("u_n", "v_n") >= PERCENT * F.greatest("u_n", "v_n")) & (apart <= DIGEST_BITS_APART))
-            .select("u", "v"))
+    for whole in batches:
+        for lo in range(0, whole.num_rows, VERIFY_ROWS):
+            batch = whole.slice(lo, VERIFY_ROWS)
+            size, found = np.zeros(batch.num_rows, np.int64), []
+            for column in ("u_text", "v_text"):
+                for scan in ts.scans(batch, column):
+                    hashes, at = shingle_sets(scan)
+                    size[scan.first: scan.first + scan.rows] += np.diff(at)
+                    found.append((hashes, scan.first + ts.text_index(at)))
+            hashes, row = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((hashes, row))
+            hashes, row = hashes[order], row[order]
+            twice = row[1:][(hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])]
+            common = np.bincount(twice, minlength=batch.num_rows)
+            linked = (size > 0) & (100 * common >= PERCENT * (size - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], schema=_VERDICT)
+
+
+def _apart(a: str, b: str) -> Column:
+    """Number of places in which two digests differ."""
+    def places(i: int) -> Column:
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    return sum((places(i) for i in range(DIGEST_LONGS)), F.lit(0))
+
+
+def _texts(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """The texts of these documents, by document, repeated rows once.  ``count`` bounds the number of ids."""
+    found = docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return found.withColumn("_hash", F.xxhash64("text")).repartition("doc_id").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+
+
+def _linked(pairs: DataFrame, about: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (u, v) that are linked.  Size and digest rule most of the others out before
+    a text is fetched: sizes apart by more than the threshold exclude a link for certain."""
+    left = about.select(F.col("rep").alias("u"), F.col("n_shingles").alias("u_n"), F.col("digest").alias("u_d"))
+    right = about.select(F.col("rep").alias("v"), F.col("n_shingles").alias("v_n"), F.col("digest").alias("v_d"))
+    near = pairs.join(left, "u").join(right, "v").filter(_sizes("u_n", "v_n") & (_apart("u_d", "v_d") <= PLACES_APART)).select("u", "v")
     near = kept(near, "pairs")
-    wanted = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    texts = kept(texts.dropDuplicates(["doc_id", "text"]), "texts")  # repeated rows count once
+    texts = _texts(docs, near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), 2 * near.count())
     with_u = near.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
     with_both = with_u.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v")
     checked = with_both.select("u", "v", "u_text", "v_text").mapInArrow(verify, "u long, v long, linked boolean")
-    return kept(checked, "verified")
+    return checked.filter("linked").select("u", "v")
+
+
+def _sizes(a: str, b: str) -> Column:
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    a, b = pairs.columns
+    return pairs.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
+
+
+_SHINGLES = pa.schema([("rep", pa.int64()), ("set_a", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
+
+
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for scan in ts.scans(batch):
+            hashes, at = shingle_sets(scan)
+            n, text = np.diff(at), ts.text_index(at)
+            set_a = ts.sums(ts.mix(hashes ^ _SET[0]), at).view(np.int64)
+            own = ids[scan.first: scan.first + scan.rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[text]), pa.array(set_a[text]), pa.array(n[text].astype(np.int64)), pa.array(hashes.view(np.int64))],
+                schema=_SHINGLES)
+
+
+def _prefix_pairs(labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of classes (rep, label) in two components that share a shingle of both their prefixes: every pair
+    of similarity 0.75 or more among them."""
+    texts = _texts(docs, labels.select(F.col("rep").alias("doc_id")), labels.count())
+    shingles = kept(texts.select("doc_id", "text").mapInArrow(_each_shingle, "rep long, set_a long, n long, shingle long"), "shingles")
+    holders = shingles.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    own = Window.partitionBy("rep", "set_a")
+    ranked = shingles.join(holders, "shingle").withColumns({
+        "rank": F.row_number().over(own.orderBy("holders", "shingle")), "shared": F.count("*").over(own)})
+    # shingles that one class alone has come first in its order
+    prefix = ranked.filter(F.expr(f"rank + n - shared <= n - (({PERCENT} * n + 99) div 100) + 1")).select("rep", "n", "shingle")
+    prefix = kept(prefix.join(labels, "rep"), "prefixes")
+    parts = prefix.groupBy("shingle", "label").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("shingle").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("major"))
+    every = prefix.join(mixed.filter("labels > 1").select("shingle", "major"), "shingle")
+    # one of two classes in different components is outside the largest part, so only those rows meet the rest
+    minor = every.filter("label <> major").select("shingle", "rep", "n", "label")
+    other = every.select("shingle", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"), "major")
+    pairs = minor.join(other, "shingle").filter(
+        F.expr("label <> other_label and (other_label = major or rep < other)") & _sizes("n", "other_n"))
+    return _ordered(pairs.select("rep", "other"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -175,78 +240,43 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = kept(docs.mapInArrow(signatures, SIGNATURE), "signatures")
     key = ["set_a", "set_b", "n_shingles"]
-    classes = kept(rows.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(
+    named = rows.filter("n_shingles > 0 and doc_id is not null")
+    classes = kept(named.groupBy(*key).agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("digest").alias("digest")), "classes")
-    # one doc_id with several texts is one document of several classes: link the classes through it
-    shared = rows.filter("n_shingles > 0 and doc_id is not null").select("doc_id", *key).distinct()
-    many = shared.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    many = shared.join(many, "doc_id").join(classes.select(*key, "rep"), key).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    about = classes.select("rep", "n_shingles", "digest")
 
-    about = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "digest")
     member = classes.select("rep", F.explode("bands").alias("band"))
-    crowded = member.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1")
-    member = kept(member.join(crowded, "band").select("band", "rep", "hub"), "buckets")
-
-    verified = _compare(_ordered(member.select("rep", "hub")), about, docs)
-    links = verified.filter("linked").select("u", "v")
-    tried = verified.select("u", "v")
-    stars = components(links.unionByName(many))
-    for turn in range(HUB_ROUNDS + 1):
-        state = member.select("band", "rep").join(stars, member["rep"] == stars["node"], "left").select(
-            "band", "rep", F.coalesce("component", "rep").alias("label"))
-        parts = state.groupBy("band", "label").agg(F.count("*").alias("n"))
-        open_bands = parts.groupBy("band").agg(
-            F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("most"),
-            F.max_by("label", F.struct("n", "label")).alias("major"),
-        ).filter("labels > 1 and n > 2")  # a bucket of two was compared in the first round
-        open_bands = kept(open_bands, "open-buckets")
-        size, work = open_bands.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - F.col("most")))).first()
-        if not size:
-            break
-        state = state.join(open_bands.select("band", "major"), "band")
-        # all that remains is compared once that is linear work, and after the last hub in any case
-        last = turn == HUB_ROUNDS or work <= PAIRS_A_ROW * size
-        if last:
-            pairs = _remaining(kept(state, "open"))
-        else:
-            # another hub for each bucket, of its largest part: what links to it joins that part
-            state = kept(state, "open")
-            hub = state.filter("label = major").groupBy("band").agg(
-                F.min_by("rep", F.struct(F.xxhash64(F.lit(turn), "rep"), "rep")).alias("hub"))
-            pairs = state.filter("label <> major").join(hub, "band").select("rep", "hub")
-        pairs = _ordered(pairs).join(tried, ["u", "v"], "left_anti")
-        verified = _compare(pairs, about, docs)
-        links = kept(links.unionByName(verified.filter("linked").select("u", "v")), "all-links")
-        tried = tried.unionByName(verified.select("u", "v"))
-        stars = components(links.unionByName(many))
-        if last:
-            break
+    crowded = member.groupBy("band").agg(
+        F.count("*").alias("n"), F.min("rep").alias("hub"), F.min(F.struct(F.xxhash64("rep"), "rep"))["rep"].alias("hub_2")).filter("n > 1")
+    member = kept(member.join(crowded, "band"), "buckets")
+    pairs = _ordered(member.select("rep", F.explode(F.array("hub", "hub_2")).alias("hub")))
+    links = _linked(pairs, about, docs)
+
+    # one doc_id with several texts is one document of several classes: they are linked through it
+    identity = F.struct(*key)
+    several = named.groupBy("doc_id").agg(F.min(identity).alias("a"), F.max(identity).alias("b")).filter("a <> b").select("doc_id")
+    if several.count():
+        through = named.select("doc_id", *key).join(several, "doc_id").distinct().join(classes.select(*key, "rep"), key)
+        links = links.unionByName(through.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    stars = components(links)
+
+    state = member.filter("n > 2").select("band", "rep").join(stars, F.col("rep") == stars["node"], "left").select(
+        "band", "rep", F.coalesce("component", "rep").alias("label"))
+    mixed = state.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+    labels = kept(state.join(mixed.select("band"), "band", "left_semi").select("rep", "label").distinct(), "open")
+    if labels.count():
+        more = _linked(_prefix_pairs(labels, docs), about, docs)
+        stars = components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     label = classes.select(*key, "rep").join(stars, classes["rep"] == stars["node"], "left").select(
         *key, F.coalesce("component", "rep").alias("component_id"))
     alone = rows.filter("n_shingles = 0 or doc_id is null").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    joined = rows.filter("n_shingles > 0 and doc_id is not null").join(label, key).select(
-        "doc_id", "n_shingles", "component_id")
+    joined = named.join(label, key).select("doc_id", "n_shingles", "component_id")
     return joined.unionByName(alone).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    a, b = pairs.columns
-    return pairs.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
-
-
-def _remaining(state: DataFrame) -> DataFrame:
-    """Every pair of a bucket that lies in two components.  One of the two is outside the largest
-    part, so only those rows meet the whole bucket."""
-    minor = state.filter("label <> major").select("band", "rep", "label")
-    every = state.select("band", F.col("rep").alias("other"), F.col("label").alias("other_label"), "major")
-    pairs = minor.join(every, "band").filter(
-        "label <> other_label and (other_label = major or rep < other)")
-    return pairs.select("rep", "other")
-
-
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
