@@ -121,12 +121,12 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS digest, CAST(strlen(html) AS VARCHAR) AS bytes,
-                  1700000000 + (page_id * 7919) % 1000003 AS at, 'day ' || (page_id % 365) AS changed FROM pages),
+                  1700000000 + (page_id * 7919) % 1000003 AS seen_at, 'day ' || (page_id % 365) AS changed FROM pages),
 t AS (SELECT *, CASE WHEN bytes IS NOT NULL THEN '"' || substr(digest, 1, 16) || '"' END AS tag FROM p),
 r AS (
-  SELECT page_id * 2 AS record_id, url, at AS captured_at, 200 AS status, tag, changed, digest AS payload, bytes FROM t
+  SELECT page_id * 2 AS record_id, url, seen_at AS captured_at, 200 AS status, tag, changed, digest AS payload, bytes FROM t
   UNION ALL
-  SELECT page_id * 2 + 1, url, at + 259200, 304, tag, changed, NULL, NULL FROM t),
+  SELECT page_id * 2 + 1, url, seen_at + 259200, 304, tag, changed, NULL, NULL FROM t),
 u AS (SELECT *, regexp_replace(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '(?s)#.*$', '') AS rest FROM r),
 k AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(rest, '^[^/?]*'), '^.*@', '')), ':(?:80|443)$', ''), '^www\.', '') AS host,
@@ -135,7 +135,7 @@ k AS (
            lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|fbclid|gclid|ref)(?:=|$)'))) AS params FROM u),
 c AS (SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END
                || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key FROM k),
-a AS (SELECT *, last_value(CASE WHEN status = 200 THEN {'id': record_id, 'at': captured_at, 'tag': tag, 'changed': changed,
+a AS (SELECT *, last_value(CASE WHEN status = 200 THEN {'id': record_id, 'tag': tag, 'changed': changed,
                                   'payload': payload, 'bytes': bytes} END IGNORE NULLS)
         OVER (PARTITION BY url_key ORDER BY captured_at, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ref FROM c),
 o AS (SELECT *, CASE WHEN status <> 304 THEN 'response' WHEN url_key IS NULL THEN 'no key' WHEN ref IS NULL THEN 'no response'

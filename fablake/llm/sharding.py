@@ -16,18 +16,22 @@ over as many tasks as it needs, and the tasks' counts of each shard give global
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fablake.llm import textscan as ts
 from fablake.llm.common import kept, table
 from fablake.llm.prefix import with_offsets
 
 REGIONS, RACKS, SHARDS = 2, 2, 4
 BASE = REGIONS * RACKS * SHARDS
-_SPAN = float(1 << 52)
+_SPAN = float(1 << 53)
+U64 = np.uint64
+_SALT = ts.stream(31, 2)
 
 #: name -> (weight, children or shard number)
 Tree = dict[str, tuple[float, "Tree | int"]]
@@ -51,25 +55,39 @@ def tree(shards: int = BASE, weights: dict[int, float] | None = None) -> Tree:
     return out
 
 
-def _draw(key: Column, name: str, weight: float) -> Column:
-    digits = F.conv(F.substring(F.md5(F.concat_ws(":", key, F.lit(name)).cast("binary")), 1, 13), 16, 10).cast("double")
-    return -F.log((digits + 0.5) / _SPAN) / weight
+def keys(ids: pa.Array) -> np.ndarray:
+    """A hash of each id; null has one of its own."""
+    known = ts.mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) ^ _SALT[0])
+    return np.where(ids.is_null().to_numpy(zero_copy_only=False), _SALT[1], known)
 
 
-def descend(key: Column, node: Tree) -> Column:
-    """The shard that the key reaches; a child of weight 0 is never chosen."""
+def _draw(key: np.ndarray, name: str, weight: float) -> np.ndarray:
+    child = U64(int.from_bytes(md5(name.encode()).digest()[:8], "little"))
+    u = ((ts.mix(key ^ child) >> U64(11)).astype(np.float64) + 0.5) / _SPAN
+    return -np.log(u) / weight
+
+
+def descend(key: np.ndarray, node: Tree) -> np.ndarray:
+    """The shard that each key reaches; a child of weight 0 is never chosen."""
     children = [(name, w, below) for name, (w, below) in node.items() if w > 0]
-    shard = lambda below: F.lit(below) if isinstance(below, int) else descend(key, below)
-    if len(children) == 1:
-        return shard(children[0][2])
-    draws = [_draw(key, name, w) for name, w, _ in children]
-    least = F.least(*draws)
-    out = F.when(draws[0] == least, shard(children[0][2]))
-    for draw, (_, _, below) in zip(draws[1:], children[1:]):
-        out = out.when(draw == least, shard(below))
+    won = np.argmin([_draw(key, name, w) for name, w, _ in children], axis=0)
+    out = np.zeros(len(key), np.int32)
+    for k, (_, _, below) in enumerate(children):
+        at = np.flatnonzero(won == k)
+        out[at] = below if isinstance(below, int) else descend(key[at], below)
     return out
 
 
+def _place(trees: tuple[Tree, Tree]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = keys(batch.column(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(descend(key, t)) for t in trees)],
+                                             names=[*batch.schema.names, "shard", "grown_shard"])
+
+    return run
+
+
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the partition's number and, for each row, how many earlier rows of it had its shard."""
     from pyspark import TaskContext
@@ -95,11 +113,11 @@ def assign(documents: DataFrame, shards: int = BASE, weights: dict[int, float] |
     The id alone decides, so rows that share a doc_id, or have none, share a shard; their slots differ.
     """
     text = F.coalesce("text", F.lit(""))
-    key = F.col("doc_id").cast("string")
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), descend(key, tree(shards, weights)).alias("shard"),
-        descend(key, tree(shards + 1, weights)).alias("grown_shard"), F.monotonically_increasing_id().alias("row"))
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.mapInArrow(_place((tree(shards, weights), tree(shards + 1, weights))),
+                           "doc_id long, size long, text_crc32 long, row long, shard int, grown_shard int")
     order = ["shard", "doc_id", "text_crc32", "row"]
     dealt = kept(rows, "shards").repartitionByRange(*order).sortWithinPartitions(*order)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema) + ", part int, local long"

@@ -58,12 +58,25 @@ def test_index_key_is_a_token_that_every_fit_has():
                 assert set(r.tokens) <= tokens, (r, u)
 
 
-def brute_shard(key, node):
+M = (1 << 64) - 1
+
+
+def mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M
+    return x ^ (x >> 31)
+
+
+def brute_shard(doc_id, node):
+    salt = [int(x) for x in sh._SALT]
+    key = salt[1] if doc_id is None else mix((doc_id & M) ^ salt[0])
     while True:
         def draw(item):
             name, (weight, _) = item
-            x = int(md5(((key + ":") if key is not None else "").encode() + name.encode()).hexdigest()[:13], 16)
-            return -math.log((x + 0.5) / (1 << 52)) / weight
+            child = int.from_bytes(md5(name.encode()).digest()[:8], "little")
+            return -math.log(((mix(key ^ child) >> 11) + 0.5) / (1 << 53)) / weight
         _, (_, node) = min(((n, v) for n, v in node.items() if v[0] > 0), key=draw)
         if isinstance(node, int):
             return node
@@ -72,7 +85,7 @@ def brute_shard(key, node):
 def test_shards_against_brute_force(spark, odd, odd_rows, empty):
     rows = sh.assign(odd).collect()
     assert len(rows) == len(odd_rows)
-    brute = lambda i, n: brute_shard(None if i is None else str(i), sh.tree(n))
+    brute = lambda i, n: brute_shard(i, sh.tree(n))
     want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), brute(i, 16), brute(i, 17)) for i, t, _, _ in odd_rows)
     assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.grown_shard) for r in rows) == want
     for s in {r.shard for r in rows}:
