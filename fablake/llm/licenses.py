@@ -133,10 +133,18 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes & _U64(BUCKETS - 1)).astype(np.int64)
 
 
-def _features(words: np.ndarray) -> tuple[np.ndarray, float]:
-    """Buckets of the 1- and 2-grams, and the norm that divides their sum."""
+def _template_buckets() -> np.ndarray:
+    """Which buckets a 1- or 2-gram of the templates falls into; the others carry no weight."""
+    out = np.zeros(BUCKETS, bool)
+    for words in (_hash_text(t) for texts in TEMPLATES.values() for t in texts):
+        out[_buckets(words)] = out[_buckets(_pairs(words))] = True
+    return out
+
+
+def _features(words: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, float]:
+    """Buckets of the 1- and 2-grams that carry weight, and the norm of all of them, which divides their sum."""
     found = np.concatenate([_buckets(words), _buckets(_pairs(words))]) if len(words) else np.zeros(0, np.int64)
-    return found, float(np.sqrt(max(len(found), 1)))
+    return found[use[found]], float(np.sqrt(max(len(found), 1)))
 
 
 class Classifier:
@@ -187,16 +195,17 @@ def _examples(corpus: list[np.ndarray], rng: np.random.Generator, each: int) ->
     return x, y
 
 
-def train(corpus: list[np.ndarray], seed: int = 5, each: int = 24, rounds: int = 12) -> Classifier:
+def train(corpus: list[np.ndarray], seed: int = 5, each: int = 24, rounds: int = 20) -> Classifier:
     """Multinomial logistic regression by Adagrad over sparse rows, then one temperature on held-out rows."""
     rng = np.random.default_rng(seed)
     x, y = _examples(corpus, rng, each)
-    rows = [_features(w) for w in x]
+    use_bucket = _template_buckets()
+    rows = [_features(w, use_bucket) for w in x]
     y = np.asarray(y)
     held = rng.random(len(y)) < 0.2
     k = len(FAMILIES)
     w, b = np.zeros((BUCKETS, k)), np.zeros(k)
-    gw, gb = np.full((BUCKETS, k), 1e-8), np.full(k, 1e-8)
+    gw, gb = np.full((BUCKETS, k), 1e-2), np.full(k, 1e-2)
     use = np.flatnonzero(~held)
     for _ in range(rounds):
         for part in np.array_split(rng.permutation(use), max(1, len(use) // 256)):
@@ -207,13 +216,11 @@ def train(corpus: list[np.ndarray], seed: int = 5, each: int = 24, rounds: int =
             np.add.at(z, row, w[at])
             p = _softmax(z * scale[:, None] + b)
             p[np.arange(len(part)), y[part]] -= 1
-            p /= len(part)
-            g = np.zeros_like(w[:1]).repeat(len(at), 0)
-            g += (p * scale[:, None])[row]
+            g = (p * scale[:, None])[row]
             touched, inverse = np.unique(at, return_inverse=True)
             grad = np.zeros((len(touched), k))
             np.add.at(grad, inverse, g)
-            grad += 1e-5 * w[touched]
+            grad += 1e-3 * w[touched]
             gw[touched] += grad ** 2
             w[touched] -= 0.5 * grad / np.sqrt(gw[touched])
             gb += p.sum(axis=0) ** 2
