@@ -16,7 +16,6 @@ from fablake.operators.ranking import distributed_row_number
 
 LOT_TABLE = "mdm.lot_master"
 RAW_TABLE = "metadata.raw_events"
-MAX_SOURCES = 1_000
 
 LINEAGE_COLUMNS = [
     "ingestion_log_id",
@@ -75,10 +74,10 @@ def _curated_side(lots: DataFrame, raws: DataFrame) -> DataFrame:
 def positional_lineage(log: DataFrame, lots: DataFrame, raws: DataFrame) -> DataFrame:
     """The lineage view (13 columns), positional pairing."""
     logs = distributed_row_number(
-        _successful_logs(log), ["source"], ["_ord_ts", "_ord_id"], max_partition_keys=MAX_SOURCES
+        _successful_logs(log), ["source"], ["_ord_ts", "_ord_id"]
     ).drop("_ord_ts", "_ord_id")
     cur = distributed_row_number(
-        _curated_side(lots, raws), ["source"], ["_ord_ts", "_ord_id"], max_partition_keys=MAX_SOURCES
+        _curated_side(lots, raws), ["source"], ["_ord_ts", "_ord_id"]
     ).drop("_ord_ts", "_ord_id")
     joined = logs.join(cur, ["source", "rn"], "left")
     return joined.select(

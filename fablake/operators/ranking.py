@@ -16,19 +16,20 @@ of all rows, so the rank is computed the way a global sort is:
 
 The order keys must make the order total (end them with a unique id).
 The range bounds come from a seeded sample whose seed depends on the RDD, so
-the numbered data is persisted once and both the block table and the final
-numbering read that one copy. A lost cached block is recomputed through the
-same shuffle dependency (same bounds, same total order), so numbers survive
-executor loss.
+the sorted data is written once to the shared folder, and both the block table
+and the final numbering read that one copy: numbers survive executor loss and
+nothing stays cached. The number of ranges is the session's, which grows with
+the data.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# broadcast guard: the block table must stay tiny
+from fablake.session import scratch_path
+
+# the block table is broadcast up to this many rows (counted), and joined by shuffle beyond
 MAX_BLOCK_ROWS = 1_000_000
 
 
@@ -37,27 +38,15 @@ def distributed_row_number(
     partition_by: list[str],
     order_by: list[str],
     out: str = "rn",
-    num_partitions: int | None = None,
-    max_partition_keys: int = 10_000,
 ) -> DataFrame:
-    """Add ``out`` = 1-based row number within ``partition_by`` by ``order_by``.
-
-    ``max_partition_keys`` is the caller's bound on distinct partition keys
-    (e.g. the registry's source count); the broadcast table size is checked
-    against it.
-    """
+    """Add ``out`` = 1-based row number within ``partition_by`` by ``order_by``."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if n + max_partition_keys > MAX_BLOCK_ROWS:
-        raise ValueError("block table would exceed the broadcast bound; use a plain window")
     keys = [*partition_by, *order_by]
-    # explicit partition count: AQE keeps it (no coalescing of REPARTITION_BY_NUM)
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    tagged = (
-        ranged.withColumn("_blk", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id())
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    numbered = ranged.withColumn("_blk", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
+    path = scratch_path(spark, "ranked")
+    numbered.write.parquet(path)
+    tagged = spark.read.schema(numbered.schema).parquet(path)
     blocks = tagged.groupBy("_blk", *partition_by).agg(
         F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt")
     )
@@ -65,18 +54,13 @@ def distributed_row_number(
         Window.unboundedPreceding, -1
     ) if partition_by else Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_cnt").over(running), F.lit(0))).drop("_cnt")
-    joined = tagged.join(F.broadcast(blocks), ["_blk", *partition_by], "inner")
+    small = blocks.count() <= MAX_BLOCK_ROWS
+    joined = tagged.join(F.broadcast(blocks) if small else blocks, ["_blk", *partition_by], "inner")
     return joined.withColumn(
         out, (F.col("_pos") - F.col("_first") + F.col("_offset") + F.lit(1)).cast("bigint")
     ).drop("_blk", "_pos", "_first", "_offset")
 
 
-def window_row_number(df: DataFrame, partition_by: list[str], order_by: list[str], out: str = "rn") -> DataFrame:
-    """Plain window form; fine when partition keys are many and small."""
-    w = Window.partitionBy(*partition_by).orderBy(*order_by) if partition_by else Window.orderBy(*order_by)
-    return df.withColumn(out, F.row_number().over(w).cast("bigint"))
-
-
 def latest_per_key(df: DataFrame, keys: list[str], order_desc: list[str]) -> DataFrame:
     """W-4 newest row per key as an aggregate (partial agg before the shuffle).
 

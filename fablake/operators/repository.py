@@ -33,16 +33,19 @@ def lookup_by_keys(table: DataFrame, keys: DataFrame, key: str, how: str = "left
     return keys.join(table, key, how)
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """K-7 INSERT .. ON CONFLICT (key) DO UPDATE: the newest version per key wins.
+def upsert(base: DataFrame, changes: DataFrame, key: str = "id", sequence: str | None = None) -> DataFrame:
+    """K-7 INSERT .. ON CONFLICT (key) DO UPDATE: any change beats the base row, and of several changes of
+    one key the one with the greatest ``sequence`` wins; equal or absent sequences fall back on a hash
+    of the whole row, so the result never depends on the order of rows.
 
     One shuffle on the key; a duplicate-heavy key costs one running max, not a sort.
     """
-    b = base.withColumn("_is_new", F.lit(0))
-    c = changes.select(*base.columns).withColumn("_is_new", F.lit(1))
-    both = b.unionByName(c)
-    best = latest_per_key(both, [key], ["_is_new"])
-    return best.drop("_is_new")
+    order = F.col(sequence).cast("long") if sequence else F.lit(0).cast("long")
+    mark = F.xxhash64(*base.columns).alias("_mark")
+    b = base.select(*base.columns, F.lit(0).alias("_is_new"), F.lit(0).cast("long").alias("_order"), mark)
+    c = changes.select(*base.columns, F.lit(1).alias("_is_new"), order.alias("_order"), mark)
+    best = latest_per_key(b.unionByName(c), [key], ["_is_new", "_order", "_mark"])
+    return best.select(*base.columns)
 
 
 def delete_returning(table: DataFrame, doomed_keys: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:

@@ -9,9 +9,9 @@ insertion order (doc id). A batch of queries cannot be an equi-join on
   that contains the query;
 * each query joins the posting list of its rarest inner token only, then
   every candidate pair is verified with ``contains``;
-* queries with no inner token (fewer than three tokens, or empty) take the
-  nested-loop path against all documents; their number is checked before
-  they are broadcast.
+* queries with no inner token (fewer than three tokens, or empty) are compared
+  with all documents, a stated set against every row; it is broadcast up to a
+  counted number of queries, and left to Spark beyond.
 
 Top-k per query uses ``row_number() <= k``, which Spark plans with a partial
 ``WindowGroupLimit`` before the shuffle, so a query hitting a third of all
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 # tokens: maximal runs of letters and digits
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
-MAX_SHORT_QUERIES = 10_000
+BROADCAST_QUERIES = 10_000
 
 
 def normalise(text: Column) -> Column:
@@ -73,10 +73,11 @@ def search_batch(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     long_q = q.filter(F.size("_inner") > 0)
     q_tokens = long_q.select("query_id", F.explode(F.array_distinct("_inner")).alias("token"))
     needed = q_tokens.select("token").distinct()
-    df_ = postings.join(needed, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    postings = postings.join(needed, "token", "left_semi")
+    df_ = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # rarest inner token per query (a token absent from all docs has no hits at all)
     pick = q_tokens.join(df_, "token", "left").groupBy("query_id").agg(
-        F.min_by("token", F.coalesce(F.col("df"), F.lit(0))).alias("token")
+        F.min_by("token", F.struct(F.coalesce(F.col("df"), F.lit(0)), F.col("token"))).alias("token")
     )
     cand = pick.join(postings, "token", "inner").select("query_id", "doc_id")
     verified = (
@@ -87,13 +88,9 @@ def search_batch(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     )
 
     short_q = q.filter(F.size("_inner") == 0).select("query_id", "q")
-    n_short = short_q.limit(MAX_SHORT_QUERIES + 1).count()
-    if n_short > MAX_SHORT_QUERIES:
-        raise ValueError("too many queries without an inner token for the nested-loop path")
-    short_hits = (
-        d.join(F.broadcast(short_q), F.contains(F.col("c"), F.col("q")))
-        .select("query_id", "doc_id")
-    ) if n_short else None
+    n_short = short_q.count()
+    few = F.broadcast(short_q) if n_short <= BROADCAST_QUERIES else short_q
+    short_hits = d.join(few, F.contains(F.col("c"), F.col("q"))).select("query_id", "doc_id") if n_short else None
     hits = verified if short_hits is None else verified.unionByName(short_hits)
     hits = hits.withColumn("score", F.lit(1))
     return top_k(hits, ["query_id"], [F.desc("score"), F.col("doc_id")], k)

@@ -7,6 +7,7 @@ its own compiled rule, so generated code stays small.
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -42,17 +43,19 @@ def validate_by_source(df: DataFrame, sources: list[str], payload: str = "payloa
                        source_col: str = "source", reg: Registry | None = None) -> DataFrame:
     """One branch per source, each with only its own compiled rule, stacked again.
 
-    Landing data is laid out by source (``{prefix}/...`` folders, or a
-    ``source`` partition column), so each branch's filter prunes to its own
-    files and the input is still read once in total. Small per-branch
-    expressions keep whole-stage code generation; one CASE over every rule
-    would not fit it. Rows of sources without a rule keep an empty list.
+    Where landing data is partitioned by ``source``, each branch's filter prunes
+    to its own files; other input is read once for each branch. Small
+    per-branch expressions keep whole-stage code generation; one CASE over
+    every rule would not fit it. Rows of sources without a rule keep an empty list.
     """
     reg = reg or load_registry()
     src = F.col(source_col)
     out = None
     for s in sources:
-        part = validate(df.filter(src == F.lit(s)), reg.rule(s), payload, cache_key=f"{id(reg)}:{s}:{reg.source(s).schema}")
+        rule = reg.rule(s)
+        # kept by content and application: another registry's rule, or a column of an ended session, is never met
+        key = f"{df.sparkSession.sparkContext.applicationId}:{s}:{json.dumps(rule, sort_keys=True)}"
+        part = validate(df.filter(src == F.lit(s)), rule, payload, cache_key=key)
         out = part if out is None else out.unionByName(part)
     rest = df.filter(~src.isin(*sources) | src.isNull()).withColumn(
         "errors", F.array().cast("array<string>")

@@ -68,7 +68,8 @@ def jobj(*pairs: tuple[str, Column | None]) -> Column:
 
 
 def mes_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spread(read_table(spark, sf_dir, "lineitem"))
+    li = spread(read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
     d = F.col("l_partkey") % 11
     qty = F.col("l_quantity").cast("int")
     payload = vobj(

@@ -80,6 +80,10 @@ class Registry:
     def rule(self, source_name: str) -> dict[str, Any]:
         return load_rule(self.source(source_name).schema, self)
 
+    def mapped_fields(self, source_name: str) -> dict[str, str]:
+        """Payload field -> column of the source's own mapping; empty without one."""
+        return (self.mappings.get(source_name) or {}).get("fields") or {}
+
     def curated_table(self, source_name: str) -> str:
         """Dedicated table only when it has a curator and the source a mapping."""
         src = self.source(source_name)
@@ -167,14 +171,15 @@ def _expand(node: Any, reg: Registry) -> Any:
 def load_rule(rel_path: str, reg: Registry | None = None) -> dict[str, Any]:
     """Read a rule file (a JSON Schema) once; a missing or broken file is fatal."""
     reg = reg or load_registry()
-    return copy.deepcopy(_load_rule_cached(rel_path, id(reg), reg))
+    return copy.deepcopy(_load_rule_cached(rel_path, reg))
 
 
-_RULE_CACHE: dict[tuple[str, int], dict[str, Any]] = {}
+_RULE_CACHE: dict[tuple[str, str], dict[str, Any]] = {}
 
 
-def _load_rule_cached(rel_path: str, key: int, reg: Registry) -> dict[str, Any]:
-    ck = (rel_path, key)
+def _load_rule_cached(rel_path: str, reg: Registry) -> dict[str, Any]:
+    # a rule depends on its file and on the registry's matrix, so it is kept by content
+    ck = (rel_path, json.dumps(reg.categories, sort_keys=False))
     if ck not in _RULE_CACHE:
         p = REGISTRY_DIR / rel_path
         if not p.exists():
@@ -241,17 +246,3 @@ def category_pairs_frame(spark: SparkSession, reg: Registry | None = None) -> Da
         [(c, f) for c, f in reg.categories.items()], "category string, formats array<string>"
     )
     return nested.select("category", F.explode("formats").alias("format"))
-
-
-def mapping_pairs_frame(spark: SparkSession, reg: Registry | None = None) -> DataFrame:
-    reg = reg or load_registry()
-    rows = [
-        (src, m.get("target_table"), fld, col)
-        for src, m in reg.mappings.items()
-        for fld, col in (m.get("fields") or {}).items()
-    ]
-    return spark.createDataFrame(rows, "source string, target_table string, source_field string, column string")
-
-
-def name_list_frame(spark: SparkSession, names: list[str], column: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in names], f"{column} string")

@@ -1,8 +1,8 @@
 """Spark session set-up and shared-folder helpers.
 
-Jobs never invent a machine-local scratch path: lineage cuts and intermediate
-tables go below ``spark.checkpoint.dir`` as the cluster names it. Only when the
-setting is absent (tests, local runs) do we point it at a folder of our own.
+Jobs never invent a machine-local scratch path: intermediate tables go below
+``spark.checkpoint.dir`` as the cluster names it. Without that setting a local
+master (tests) gets a folder of its own; on a cluster the job stops with a message.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ def build_session(
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # duplicate CSV header names keep the last cell, as a dict zip does
         .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+        # a repeated key of a JSON object keeps its last value, as a dict does
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.sql.chunkBase64String.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -54,6 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    # only one process sees a folder of its own: right for a local master, wrong on a cluster
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="fablake-ckpt-")
     spark.conf.set(_CHECKPOINT_KEY, local)
     spark.sparkContext.setCheckpointDir(local)
@@ -66,12 +71,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss), never a local one."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a scan that yields fewer partitions than the cluster has cores.
 

@@ -16,7 +16,7 @@ def test_distributed_row_number_equals_window_on_skewed_keys(spark):
     rnd = random.Random(7)
     rows = [("hot" if i % 3 else f"k{i % 5}", rnd.randint(0, 50), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "key string, ts int, id int")
-    got = distributed_row_number(df, ["key"], ["ts", "id"], num_partitions=7)
+    got = distributed_row_number(df, ["key"], ["ts", "id"])
     w = Window.partitionBy("key").orderBy("ts", "id")
     exp = df.withColumn("rn", F.row_number().over(w).cast("bigint"))
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
@@ -24,7 +24,7 @@ def test_distributed_row_number_equals_window_on_skewed_keys(spark):
 
 def test_distributed_row_number_without_partition_keys(spark):
     df = spark.createDataFrame([(i % 13, i) for i in range(500)], "ts int, id int")
-    got = {r.id: r.rn for r in distributed_row_number(df, [], ["ts", "id"], num_partitions=5).collect()}
+    got = {r.id: r.rn for r in distributed_row_number(df, [], ["ts", "id"]).collect()}
     ordered = sorted(range(500), key=lambda i: (i % 13, i))
     assert got == {i: n + 1 for n, i in enumerate(ordered)}
 
