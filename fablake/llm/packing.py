@@ -7,13 +7,16 @@ its boundary records (``pieces``) say where each piece lies in the document and
 the last sequence can be short.
 
 Ids are those of ``tokenizers`` for the whole text.  The tokenizer drops white space and no token spans
-it, so texts are cut at spaces and line feeds and each distinct word is tokenized once for each task
-(a table of at most ``CACHE_WORDS`` words and ``CACHE_CHARS`` characters, emptied when full; a word longer than
-``LONG_WORD`` is never kept).
+it, so texts are cut at spaces and line feeds, and words that were met lately are looked up.  A new word
+of plain letters, digits and marks is cut into parts as the tokenizer cuts it, and its model codes parts
+that were not met lately; any other word goes through the whole tokenizer.  Both tables are bounded
+(``CACHE_WORDS``, ``CACHE_PARTS``, twice each; nothing longer than ``LONG_WORD`` is kept).
 """
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,13 +31,47 @@ from fablake.llm.prefix import with_offsets
 LENGTH = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS, CACHE_CHARS, LONG_WORD = 300_000, 4_000_000, 200
+CACHE_WORDS, CACHE_PARTS, LONG_WORD = 150_000, 250_000, 100
 #: Texts and ids given to Spark at a time.
 BATCH_ROWS, BATCH_IDS = 2_000, 1 << 20
 IDS = "doc_id long, part int, local long, n long, ids binary"
 _IDS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
 
+# fixed values: how the tokenizer cuts words, for text whose lower case and normal form are plain: ASCII, and
+# Latin letters with one lower case each
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]+")
+_CUT_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w]|_)+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: itself where it prints, else one above 255."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in prints]
+    return [chr(b) if b in prints else chr(256 + rest.index(b)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+
+
+class _Recent:
+    """A table of at most 2 * ``size`` entries; those not asked for lately go first."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.old.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class WordIds:
     """ids(text): the text's ids as little-endian unsigned 32-bit bytes, without the end id."""
 
@@ -42,27 +79,46 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
-        self._chars = 0
+        self._model = self._tokenizer.model
+        self._words, self._parts = _Recent(CACHE_WORDS), _Recent(CACHE_PARTS)
+
+    def _part(self, part: str) -> bytes:
+        found = self._parts.new.get(part) or self._parts.get(part)
+        if found is None:
+            letters = part if part.isascii() else "".join([_LETTERS[b] for b in part.encode()])
+            ids = [t.id for t in self._model.tokenize(letters)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(part) <= LONG_WORD:
+                self._parts.put(part, found)
+        return found
+
+    def _word(self, word: str) -> bytes:
+        found = self._words.get(word)
+        if found is None:
+            if _PLAIN.fullmatch(word) and "<|" not in word:
+                found = b"".join([self._part(p) for p in _CUT_WORD.findall(word.lower())])
+            else:  # special tokens, control characters, other scripts, nothing at all
+                found = np.asarray(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(word) <= LONG_WORD:
+                self._words.put(word, found)
+        return found
 
     def ids(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        known = self._known
-        new = [w for w in set(words) if w not in known]
-        if not new:
-            return b"".join([known[w] for w in words])
-        coded = self._tokenizer.encode_batch(new, add_special_tokens=False)
-        fresh = {w: np.asarray(c.ids, "<u4").tobytes() for w, c in zip(new, coded)}
-        out = b"".join([known[w] if w in known else fresh[w] for w in words])
-        size = sum(map(len, new))
-        if len(known) + len(new) > CACHE_WORDS or self._chars + size > CACHE_CHARS:
-            known.clear()
-            self._chars = 0
-        short = {w: c for w, c in fresh.items() if len(w) <= LONG_WORD}
-        if len(short) <= CACHE_WORDS and size <= CACHE_CHARS:
-            known.update(short)
-            self._chars += size
-        return out
+        out = list(map(self._words.new.get, words))
+        if None in out:
+            out = [self._word(w) if c is None else c for w, c in zip(words, out)]
+        return b"".join(out)
+
+
+_coders: dict[str, WordIds] = {}
+
+
+def _coder(path: str) -> WordIds:
+    """One for each tokenizer and worker process: tables fill once, not once a task."""
+    if path not in _coders:
+        _coders[path] = WordIds(path)
+    return _coders[path]
 
 
 def _tokenize(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -70,7 +126,7 @@ def _tokenize(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        coder, total = WordIds(path), 0
+        coder, total = _coder(path), 0
         end = np.asarray([END], "<u4").tobytes()
         rows: list[tuple] = []
         held = 0

@@ -39,13 +39,20 @@ def test_word_cache_equals_whole_text(tokenizer, spark):
         assert np.frombuffer(coder.ids(t or ""), "<u4").tolist() == plain(tokenizer, t), t[:80]
 
 
-def test_cache_is_emptied_when_full(tokenizer, monkeypatch):
+def test_tables_stay_bounded(tokenizer, monkeypatch):
     monkeypatch.setattr(pk, "CACHE_WORDS", 5)
-    monkeypatch.setattr(pk, "CACHE_CHARS", 40)
+    monkeypatch.setattr(pk, "CACHE_PARTS", 4)
     coder = pk.WordIds(PATH)
     for t in [prose(s, 30) for s in range(20)] + ["a b", "a b c", "x" * 300]:
         assert np.frombuffer(coder.ids(t), "<u4").tolist() == plain(tokenizer, t)
-        assert len(coder._known) <= 5
+        assert len(coder._words.new) <= 5 and len(coder._words.old) <= 5 and len(coder._parts.new) + len(coder._parts.old) <= 8
+
+
+def test_every_letter_of_the_plain_range(tokenizer):
+    coder = pk.WordIds(PATH)
+    for c in map(chr, range(1, 0x250)):
+        for t in (c, f"a{c}b", f"{c}'s", f"_{c}_1", f"A{c}{c}9.", f"<|{c}|>"):
+            assert np.frombuffer(coder.ids(t), "<u4").tolist() == plain(tokenizer, t), (t, c)
 
 
 def check_pieces(rows, docs, tokenizer, length):
