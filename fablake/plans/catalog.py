@@ -1471,11 +1471,12 @@ def _stream_run(spark, sf_dir, replay: bool):
     base = scratch_path(spark, "stream")
     landing, out, ckpt = f"{base}/landing", f"{base}/out", f"{base}/checkpoint"
     strm.land_requests(ing.requests_from_tables(spark, sf_dir), landing, duplicate_file=replay)
-    # several micro-batches: each file's rows came at another time, and not in order
-    strm.run_stream(spark, landing, out, ckpt, max_files_per_trigger=2)
     if replay:
-        # a second run on the same checkpoint finds nothing new, one from a new checkpoint nothing unknown
-        strm.run_stream(spark, landing, out, ckpt)
+        # two micro-batches: each file's rows came at another time, and not in order
+        strm.run_stream(spark, landing, out, ckpt, max_files_per_trigger=3)
+    # with replay, a second run on the same checkpoint finds nothing new, one from a new checkpoint nothing unknown
+    strm.run_stream(spark, landing, out, ckpt)
+    if replay:
         strm.run_stream(spark, landing, out, f"{ckpt}-new")
     return base, out
 
