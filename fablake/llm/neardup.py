@@ -17,7 +17,8 @@ each class is compared with two hubs, and linked classes form components.  A buc
 component is done: its other pairs cannot change the result.  Classes of the other buckets (most share
 a frequent passage and little else) are joined exactly, by prefix filtering: shingles are ordered by how
 many of these classes have them, and two sets of similarity 0.75 must share one of the rarest
-n - ceil(0.75 n) + 1 of each.  A passage that many hold is at the end of that order and proposes nothing.
+n - ceil(0.75 n) + 1 of each.  A passage that many hold is at the end of that order and proposes nothing,
+also where it reaches into those: what can stand behind it is too little (positional filter).
 """
 
 from __future__ import annotations
@@ -215,16 +216,22 @@ def _prefix_pairs(labels: DataFrame, docs: DataFrame) -> DataFrame:
     ranked = shingles.join(holders, "shingle").withColumns({
         "rank": F.row_number().over(own.orderBy("holders", "shingle")), "shared": F.count("*").over(own)})
     # shingles that one class alone has come first in its order
-    prefix = ranked.filter(F.expr(f"rank + n - shared <= n - (({PERCENT} * n + 99) div 100) + 1")).select("rep", "n", "shingle")
+    ranked = ranked.withColumn("place", F.col("rank") + F.col("n") - F.col("shared"))
+    prefix = ranked.filter(F.expr(f"place <= n - (({PERCENT} * n + 99) div 100) + 1")).select("rep", "n", "shingle", "place")
     prefix = kept(prefix.join(labels, "rep"), "prefixes")
     parts = prefix.groupBy("shingle", "label").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("shingle").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("major"))
     every = prefix.join(mixed.filter("labels > 1").select("shingle", "major"), "shingle")
     # one of two classes in different components is outside the largest part, so only those rows meet the rest
-    minor = every.filter("label <> major").select("shingle", "rep", "n", "label")
-    other = every.select("shingle", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"), "major")
+    minor = every.filter("label <> major").select("shingle", "rep", "n", "place", "label")
+    other = every.select("shingle", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("place").alias("other_place"),
+                         F.col("label").alias("other_label"), "major")
+    # at their first common shingle, two sets can have no more in common than what stands behind it in either
+    # order; a pair of enough similarity passes there, one that shares a frequent passage and little else does not
+    most = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
     pairs = minor.join(other, "shingle").filter(
-        F.expr("label <> other_label and (other_label = major or rep < other)") & _sizes("n", "other_n"))
+        F.expr("label <> other_label and (other_label = major or rep < other)") & _sizes("n", "other_n")
+        & ((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("other_n"))))
     return _ordered(pairs.select("rep", "other"))
 
 
