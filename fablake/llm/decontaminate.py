@@ -4,9 +4,10 @@
 placeholders; other words are lower-cased, punctuation goes.  A question that was asked anew with other
 numbers or names has the template it had.
 
-*Windows.*  The benchmark side has every window of ``WINDOW`` template words, the document side every
-``STRIDE``-th one.  Any common stretch of ``WINDOW + STRIDE - 1`` words holds a document window, so an
-item of at least ``LEAST_WORDS`` words that stands in a document cannot be missed.
+*Windows.*  Both sides have every window of ``WINDOW`` template words, so any common stretch of that
+many words proposes its place, wherever it starts.  Whether an item's first word counts as a name depends on
+what stands before it, so the item's first window is there in both forms.  An item of fewer words is one
+window of all its words, values included, and must stand in the document word by word.
 
 *Slots.*  For each document, item and offset that windows propose, the item is laid on the document's
 words: enough of it must agree, enough of that must be literal words, and each placeholder's value
@@ -24,8 +25,7 @@ from pyspark.sql import functions as F
 
 from fablake.llm.common import kept, table
 
-WINDOW, STRIDE = 6, 5
-LEAST_WORDS = WINDOW + STRIDE - 1
+WINDOW = 6
 LEAST_COVER = 0.5
 LEAST_LITERAL = 0.5
 BROADCAST_ROWS = 1_000_000
@@ -60,12 +60,30 @@ def _template(marked: Column) -> Column:
     return F.when(has, F.regexp_replace(marked, rf"([{_MARKS}])(?:[\p{{L}}\p{{N}}]|[.,](?=\d))+", "$1")).otherwise(marked)
 
 
-def _window_hashes(words: Column, stride: int) -> Column:
-    """[{at, window}] of the template's windows; each is a 64-bit hash, checked word by word later."""
-    last = F.size(words) - WINDOW
+def _bare(text: Column) -> Column:
+    """The marked text or word without marks: the same number of words."""
+    return F.regexp_replace(text, f"[{_MARKS}]", "")
+
+
+def _is_slot(word: Column) -> Column:
+    return word.isin(NUMBER, UNIT, NAME)
+
+
+def _window_hashes(words: Column, width: int = WINDOW) -> Column:
+    """[{at, window}] of all windows; each is a 64-bit hash, checked word by word later."""
+    last = F.size(words) - width
     return F.when(last >= 0, F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)),
-        lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, F.lit(WINDOW))).alias("window"))))
+        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+        lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, F.lit(width))).alias("window")))).otherwise(F.array())
+
+
+def _item_windows(words: Column, template: Column) -> Column:
+    """[{at, window}] of an item; the first window also with a name for its first word."""
+    named = F.concat(F.array(F.lit(NAME)), F.slice(template, 2, WINDOW - 1))
+    first = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(named).alias("window")))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.transform(words, _bare)).alias("window")))
+    return F.when(F.size(words) < WINDOW, whole).when(_is_slot(template[0]), _window_hashes(template)) \
+        .otherwise(F.concat(_window_hashes(template), first))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -78,8 +96,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     changed (slots with another value), starts_at (word of the document, may be negative where the item's
     beginning is missing).
 
-    Null texts, and items of fewer than ``LEAST_WORDS`` words, match nothing.  Repeated rows of a
-    document give one result; a null doc_id is reported as null.  Of several offsets the one with most
+    Null texts, and items without a word, match nothing.  Repeated rows of a document give one result; a null doc_id is reported as null.  Of several offsets the one with most
     agreement counts.  Other columns are ignored.
     """
     docs = documents.filter("text is not null").select(
@@ -88,13 +105,18 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.min("item_id").alias("item_id"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     items = items.select("item_id", "item_ids", _words(F.col("marked")).alias("item_words"),
                          _words(_template(F.col("marked"))).alias("item_template"))
-    items = kept(items.filter(F.size("item_words") >= LEAST_WORDS).withColumn("item", F.xxhash64("item_words")), "items")
+    items = kept(items.filter(F.size("item_words") > 0).withColumn("item", F.xxhash64("item_words")), "items")
 
-    asked = items.select("item", F.size("item_words").alias("n"), F.explode(_window_hashes(F.col("item_template"), 1)).alias("w")).select(
+    asked = items.select("item", F.size("item_words").alias("n"), F.explode(_item_windows(F.col("item_words"), F.col("item_template"))).alias("w")).select(
         "item", "n", F.col("w.at").alias("item_at"), F.col("w.window").alias("window"))
     asked = kept(asked.groupBy("window").agg(F.collect_list(F.struct("item", "item_at", "n")).alias("hits")), "item-windows")
-    found = docs.select("doc_id", "text_hash", _words(_template(_marked(F.col("text")))).alias("words")).select(
-        "doc_id", "text_hash", F.explode(_window_hashes(F.col("words"), STRIDE)).alias("w")).select(
+    # at most WINDOW - 1 lengths of shorter items, mostly none
+    shorter = sorted(r.n for r in items.select(F.size("item_words").alias("n")).filter(F.col("n") < WINDOW).distinct().collect())
+    marked = docs.select("doc_id", "text_hash", _marked(F.col("text")).alias("marked"))
+    worded = marked.select("doc_id", "text_hash", _words(_template(F.col("marked"))).alias("template"),
+                           *([_words(_bare(F.col("marked"))).alias("bare")] if shorter else []))
+    windows = F.concat(_window_hashes(F.col("template")), *[_window_hashes(F.col("bare"), n) for n in shorter])
+    found = worded.select("doc_id", "text_hash", F.explode(windows).alias("w")).select(
         "doc_id", "text_hash", F.col("w.at").alias("at"), F.col("w.window").alias("window"))
     offsets = found.join(_small(asked), "window").select(
         "doc_id", "text_hash", "at", F.explode("hits").alias("hit")).select(
@@ -115,23 +137,25 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     laid = laid.join(_small(items), "item")
     # the words below the item; positions outside the document are null and agree with nothing
     pairs = F.transform(F.sequence(F.lit(0), F.size("item_words") - 1), lambda i: F.struct(
-        F.col("item_template")[i].alias("slot"), F.col("item_words")[i].alias("item"),
-        F.get("words", F.col("starts_at") + i - F.col("first")).alias("doc"),
+        F.col("item_template")[i].alias("slot"), _bare(F.col("item_words")[i]).alias("item"),
+        _bare(F.get("words", F.col("starts_at") + i - F.col("first"))).alias("doc"),
         F.get("template", F.col("starts_at") + i - F.col("first")).alias("doc_slot")))
     laid = laid.select("doc_id", "text_hash", "item_id", "item_ids", "starts_at", F.size("item_words").alias("n_words"),
-                       F.filter(pairs, lambda p: p["slot"] == p["doc_slot"]).alias("same"))
-    is_slot = lambda p: p["slot"].isin(NUMBER, UNIT, NAME)
-    laid = laid.withColumn("values", F.filter("same", is_slot))
+                       F.filter(pairs, lambda p: (p["slot"] == p["doc_slot"]) | (p["item"] == p["doc"])).alias("same"))
+    # a word that is a slot on one side only is a literal one: it agrees as it stands
+    laid = laid.withColumn("values", F.filter("same", lambda p: _is_slot(p["slot"]) & (p["slot"] == p["doc_slot"])))
+    laid = laid.withColumn("verbatim", F.size(F.filter("same", lambda p: p["item"] == p["doc"])) == F.col("n_words"))
     laid = laid.select(
-        "doc_id", "text_hash", "item_id", "item_ids", "starts_at", "n_words", F.size("same").alias("matched"),
+        "doc_id", "text_hash", "item_id", "item_ids", "starts_at", "n_words", "verbatim", F.size("same").alias("matched"),
         (F.size("same") - F.size("values")).alias("literal"), F.size("values").alias("slots"),
         F.size(F.filter("values", lambda p: p["item"] != p["doc"])).alias("changed"),
         F.size(F.array_distinct("values")).alias("maps"),
         F.size(F.array_distinct(F.transform("values", lambda p: p["item"]))).alias("from"),
         F.size(F.array_distinct(F.transform("values", lambda p: p["doc"]))).alias("to"))
-    laid = laid.filter((F.col("maps") == F.col("from")) & (F.col("maps") == F.col("to"))
-                       & (F.col("matched") >= LEAST_COVER * F.col("n_words"))
-                       & (F.col("literal") >= LEAST_LITERAL * F.col("matched")))
+    laid = laid.filter(F.col("verbatim") | (
+        (F.col("n_words") >= WINDOW) & (F.col("maps") == F.col("from")) & (F.col("maps") == F.col("to"))
+        & (F.col("matched") >= LEAST_COVER * F.col("n_words"))
+        & (F.col("literal") >= LEAST_LITERAL * F.col("matched"))))
     best = F.struct("matched", "literal", (-F.col("starts_at")).alias("earlier"))
     return laid.groupBy("doc_id", "text_hash", "item_id").agg(*[
         F.max_by(c, best).alias(c) for c in ("item_ids", "n_words", "matched", "literal", "slots", "changed", "starts_at")])

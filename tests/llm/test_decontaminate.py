@@ -63,3 +63,19 @@ def test_odd_rows_and_empty_tables(spark, odd, empty):
         str(r.doc_id) for r in odd.collect() if r.doc_id not in (5, 6, 14) and not (r.text and prose(3, 80) in r.text))
     assert dc.clean(empty, items).collect() == [] and dc.contaminated(odd, items.limit(0)).collect() == []
     assert dc.clean(odd, items.limit(0)).count() == odd.count()
+
+
+def test_an_edited_item_is_found_wherever_it_starts(spark):
+    item = prose(40, 15).split(" ")
+    edited = item[:7] + ["elsewise"] + item[8:]
+    docs = [(i, " ".join(prose(41, 40).split(" ")[:i] + edited + prose(42, 30).split(" "))) for i in range(12)]
+    assert found(dc.contaminated(*frames(spark, docs, [(1, " ".join(item))]))) == {(i, 1) for i in range(12)}
+
+
+def test_items_of_few_words_are_found_verbatim(spark):
+    items = [(1, "Wie hoch ist der Turm?"), (2, "What is the capital of France"), (3, "Add 12 and 30"), (4, "Why"), (5, prose(43, 9)), (6, "Anna met Bob and Carl")]
+    before, after = prose(44, 33), prose(45, 20)
+    docs = [(i, f"{before} {t}, {after}") for i, t in items] + [
+        (7, f"{before} Add 12 and 31, {after}"), (8, f"{before}. WIE hoch ist der Turm\n{after}"), (9, f"{before} Anna met Bob and Dora, {after}")]
+    assert found(dc.contaminated(*frames(spark, docs, items))) == {(i, i) for i in range(1, 7)} | {(8, 1)}
+    assert {r.doc_id for r in dc.clean(*frames(spark, docs, items)).collect()} == {7, 9}
