@@ -9,10 +9,14 @@ many words proposes its place, wherever it starts.  Whether an item's first word
 what stands before it, so the item's first window is there in both forms.  An item of fewer words is one
 window of all its words, values included, and must stand in the document word by word.
 
-*Slots.*  For each document, item and offset that windows propose, the item is laid on the document's
-words: enough of it must agree, enough of that must be literal words, and each placeholder's value
-must map to one value and back (the same name or number of the item must be the same one in the
-document everywhere).
+*Stretches.*  Each offset that windows propose lays the item on the document's words.  Inserted or deleted
+words shift the rest, so the stretches (``RUN`` agreeing words or more) of offsets that lie no further apart
+than half the item are also tried together; no word of either side counts twice.  Enough of the item must
+agree, in a short one more and a least number of literal words, and enough of what agrees must be literal.
+
+*Slots.*  Inside stretches of ``WINDOW`` words or more a value of the item must be the same one everywhere, and two names must not
+become one (two numbers or units may): at most ``MAX_MIXED`` of the slots may break this.  Outside, where the
+document may have gone on with its own words, a slot that breaks it just does not agree.
 
 Windows meet in a hash join.  The benchmark's windows and the proposed documents are broadcast only
 where a count shows at most ``BROADCAST_ROWS`` rows; beyond that the same join shuffles.
@@ -20,14 +24,20 @@ where a count shows at most ``BROADCAST_ROWS`` rows; beyond that the same join s
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fablake.llm.common import kept, table
 
 WINDOW = 6
+RUN = 3
 LEAST_COVER = 0.5
 LEAST_LITERAL = 0.5
+MAX_MIXED = 0.25
+SHORT, SHORT_COVER, SHORT_LITERALS = 16, 0.75, 5  # items of fewer words; a verbatim copy always counts
 BROADCAST_ROWS = 1_000_000
 
 # fixed values: units that may follow a number
@@ -86,6 +96,40 @@ def _item_windows(words: Column, template: Column) -> Column:
         .otherwise(F.concat(_window_hashes(template), first))
 
 
+def _near(starts: Column, n: Column) -> Column:
+    """Sorted offsets to lay an item at: each alone, and each with those that follow within half the item."""
+    reach = F.greatest(F.lit(WINDOW), F.floor(n / 2).cast("int"))
+    alone = F.transform(starts, lambda s: F.array(s))
+    joined = F.transform(starts, lambda s: F.filter(starts, lambda x: (x >= s) & (x <= s + reach)))
+    return F.when((F.size(starts) == 1) | (n < WINDOW), alone).otherwise(
+        F.concat(alone, F.filter(joined, lambda near: F.size(near) > 1)))
+
+
+def _agreeing(n: Column) -> Column:
+    """[{i, slot, item, at, doc, doc_slot, agrees, run, core}] of the item's words that agree with the document's, by
+    ``starts``: of one offset all, of several the stretches, where no word of either side comes twice.  ``core``:
+    in a stretch that could have proposed the offset."""
+    def cell(s, i):
+        k = s + i - F.col("first")  # positions outside the document are null and agree with nothing
+        slot, item, doc, doc_slot = F.col("item_template")[i], F.col("item_bare")[i], F.get("bare", k), F.get("template", k)
+        agrees = F.coalesce((slot == doc_slot) | (item == doc), F.lit(False))
+        return F.struct(i.alias("i"), slot.alias("slot"), item.alias("item"), (s + i).alias("at"), doc.alias("doc"),
+                        doc_slot.alias("doc_slot"), agrees.alias("agrees"))
+
+    def in_run(row, i, least):
+        on = lambda k: F.coalesce(F.get(row, i + k)["agrees"], F.lit(False))
+        spans = [[on(k) for k in range(-back, least - back)] for back in range(least)]
+        return reduce(or_, [reduce(and_, span) for span in spans])
+
+    cells = F.transform("starts", lambda s: F.transform(F.sequence(F.lit(0), n - 1), lambda i: cell(s, i)))
+    rows = F.transform(cells, lambda row: F.transform(row, lambda p, i: p.withField("run", in_run(row, i, RUN)).withField("core", in_run(row, i, WINDOW))))
+    several = F.size("starts") > 1
+    agreeing = F.filter(F.flatten(rows), lambda p: p["run"] | (p["agrees"] & ~several))
+    once = lambda x: F.filter(x, lambda p, k: ~F.exists(
+        F.slice(x, 1, k), lambda q: (q["i"] == p["i"]) | (q["at"] == p["at"])))
+    return F.transform(F.array(agreeing), lambda x: F.when(several, once(x)).otherwise(x))[0]
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -93,17 +137,17 @@ def _small(df: DataFrame) -> DataFrame:
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document text and benchmark text of which it holds enough: doc_id, text_hash,
     item_id (the smallest with that text), item_ids, n_words of the item, matched, literal, slots,
-    changed (slots with another value), starts_at (word of the document, may be negative where the item's
-    beginning is missing).
+    changed (slots with another value), starts_at (word of the document, by the first offset; may be negative
+    where the item's beginning is missing).
 
-    Null texts, and items without a word, match nothing.  Repeated rows of a document give one result; a null doc_id is reported as null.  Of several offsets the one with most
+    Null texts, and items without a word, match nothing.  Repeated rows of a document give one result; a null doc_id is reported as null.  Of several places the one with most
     agreement counts.  Other columns are ignored.
     """
     docs = documents.filter("text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     items = benchmark.filter("text is not null").groupBy(_marked(F.col("text")).alias("marked")).agg(
         F.min("item_id").alias("item_id"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    items = items.select("item_id", "item_ids", _words(F.col("marked")).alias("item_words"),
+    items = items.select("item_id", "item_ids", _words(F.col("marked")).alias("item_words"), _words(_bare(F.col("marked"))).alias("item_bare"),
                          _words(_template(F.col("marked"))).alias("item_template"))
     items = kept(items.filter(F.size("item_words") > 0).withColumn("item", F.xxhash64("item_words")), "items")
 
@@ -121,42 +165,48 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     offsets = found.join(_small(asked), "window").select(
         "doc_id", "text_hash", "at", F.explode("hits").alias("hit")).select(
         "doc_id", "text_hash", F.col("hit.item").alias("item"), F.col("hit.n").alias("n"), (F.col("at") - F.col("hit.item_at")).alias("starts_at")).distinct()
-    offsets = kept(offsets.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "starts_at", "n")).alias("tries")), "offsets")
+    places = offsets.groupBy("doc_id", "text_hash", "item", "n").agg(F.array_sort(F.collect_set("starts_at")).alias("starts"))
+    places = places.select("doc_id", "text_hash", "item", "n", F.explode(_near(F.col("starts"), F.col("n"))).alias("starts"))
+    offsets = kept(places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "starts", "n")).alias("tries")), "offsets")
 
     tries = offsets.withColumnsRenamed({"doc_id": "t_id", "text_hash": "t_hash"})
     texts = docs.join(_small(tries), docs["doc_id"].eqNullSafe(tries["t_id"]) & (docs["text_hash"] == tries["t_hash"]))
     marked = texts.select("doc_id", "text_hash", "tries", _marked(F.col("text")).alias("marked"))
-    words = marked.select("doc_id", "text_hash", "tries", _words(F.col("marked")).alias("words"),
+    words = marked.select("doc_id", "text_hash", "tries", _words(_bare(F.col("marked"))).alias("bare"),
                           _words(_template(F.col("marked"))).alias("template"))
     # only the words below the item go on, however many items a long document holds
-    below = lambda words, t: F.slice(words, F.greatest(t["starts_at"], F.lit(0)) + 1, t["n"] + F.least(t["starts_at"], F.lit(0)))
+    first = lambda t: F.greatest(t["starts"][0], F.lit(0))
+    below = lambda words, t: F.slice(words, first(t) + 1, F.greatest(F.element_at(t["starts"], -1) + t["n"] - first(t), F.lit(0)))
     laid = words.select("doc_id", "text_hash", F.explode(F.transform("tries", lambda t: F.struct(
-        t["item"].alias("item"), t["starts_at"].alias("starts_at"), F.greatest(t["starts_at"], F.lit(0)).alias("first"),
-        below("words", t).alias("words"), below("template", t).alias("template")))).alias("try"))
+        t["item"].alias("item"), t["starts"].alias("starts"), first(t).alias("first"),
+        below("bare", t).alias("bare"), below("template", t).alias("template")))).alias("try"))
     laid = laid.select("doc_id", "text_hash", "try.*")
     laid = laid.join(_small(items), "item")
-    # the words below the item; positions outside the document are null and agree with nothing
-    pairs = F.transform(F.sequence(F.lit(0), F.size("item_words") - 1), lambda i: F.struct(
-        F.col("item_template")[i].alias("slot"), _bare(F.col("item_words")[i]).alias("item"),
-        _bare(F.get("words", F.col("starts_at") + i - F.col("first"))).alias("doc"),
-        F.get("template", F.col("starts_at") + i - F.col("first")).alias("doc_slot")))
-    laid = laid.select("doc_id", "text_hash", "item_id", "item_ids", "starts_at", F.size("item_words").alias("n_words"),
-                       F.filter(pairs, lambda p: (p["slot"] == p["doc_slot"]) | (p["item"] == p["doc"])).alias("same"))
+    laid = laid.select("doc_id", "text_hash", "item_id", "item_ids", "starts", F.size("item_words").alias("n_words"),
+                       _agreeing(F.size("item_words")).alias("same"))
     # a word that is a slot on one side only is a literal one: it agrees as it stands
-    laid = laid.withColumn("values", F.filter("same", lambda p: _is_slot(p["slot"]) & (p["slot"] == p["doc_slot"])))
-    laid = laid.withColumn("verbatim", F.size(F.filter("same", lambda p: p["item"] == p["doc"])) == F.col("n_words"))
+    value = lambda p: _is_slot(p["slot"]) & (p["slot"] == p["doc_slot"])
+    laid = laid.withColumn("known", F.array_distinct(F.transform(
+        F.filter("same", lambda p: p["core"] & value(p)),
+        lambda p: F.struct(p["slot"].alias("slot"), p["item"].alias("item"), p["doc"].alias("doc")))))
+    parted = lambda p: F.exists("known", lambda k: (k["slot"] == p["slot"]) & (k["item"] == p["item"]) & (k["doc"] != p["doc"]))
+    merged = lambda p: (p["slot"] == NAME) & F.exists(
+        "known", lambda k: (k["slot"] == NAME) & (k["doc"] == p["doc"]) & (k["item"] != p["item"]))
+    laid = laid.withColumn("same", F.filter("same", lambda p: p["core"] | ~value(p) | ~parted(p)))
+    laid = laid.withColumn("values", F.filter("same", value))
     laid = laid.select(
-        "doc_id", "text_hash", "item_id", "item_ids", "starts_at", "n_words", "verbatim", F.size("same").alias("matched"),
+        "doc_id", "text_hash", "item_id", "item_ids", F.col("starts")[0].alias("starts_at"), "n_words", F.size("same").alias("matched"),
         (F.size("same") - F.size("values")).alias("literal"), F.size("values").alias("slots"),
         F.size(F.filter("values", lambda p: p["item"] != p["doc"])).alias("changed"),
-        F.size(F.array_distinct("values")).alias("maps"),
-        F.size(F.array_distinct(F.transform("values", lambda p: p["item"]))).alias("from"),
-        F.size(F.array_distinct(F.transform("values", lambda p: p["doc"]))).alias("to"))
+        ((F.size("starts") == 1) & (F.size(F.filter("same", lambda p: p["item"] == p["doc"])) == F.col("n_words"))).alias("verbatim"),
+        F.size(F.filter("values", lambda p: p["core"])).alias("held"),
+        F.size(F.filter("values", lambda p: p["core"] & (parted(p) | merged(p)))).alias("mixed"))
+    enough = F.when(F.col("n_words") < SHORT, (F.col("matched") >= SHORT_COVER * F.col("n_words")) & (F.col("literal") >= SHORT_LITERALS)) \
+        .otherwise(F.col("matched") >= LEAST_COVER * F.col("n_words"))
     laid = laid.filter(F.col("verbatim") | (
-        (F.col("n_words") >= WINDOW) & (F.col("maps") == F.col("from")) & (F.col("maps") == F.col("to"))
-        & (F.col("matched") >= LEAST_COVER * F.col("n_words"))
+        (F.col("n_words") >= WINDOW) & enough & (F.col("mixed") <= MAX_MIXED * F.col("held"))
         & (F.col("literal") >= LEAST_LITERAL * F.col("matched"))))
-    best = F.struct("matched", "literal", (-F.col("starts_at")).alias("earlier"))
+    best = F.struct("matched", "literal", (-F.col("starts_at")).alias("earlier"), "slots", "changed")
     return laid.groupBy("doc_id", "text_hash", "item_id").agg(*[
         F.max_by(c, best).alias(c) for c in ("item_ids", "n_words", "matched", "literal", "slots", "changed", "starts_at")])
 

@@ -79,3 +79,32 @@ def test_items_of_few_words_are_found_verbatim(spark):
         (7, f"{before} Add 12 and 31, {after}"), (8, f"{before}. WIE hoch ist der Turm\n{after}"), (9, f"{before} Anna met Bob and Dora, {after}")]
     assert found(dc.contaminated(*frames(spark, docs, items))) == {(i, i) for i in range(1, 7)} | {(8, 1)}
     assert {r.doc_id for r in dc.clean(*frames(spark, docs, items)).collect()} == {7, 9}
+
+
+def test_shifted_stretches_count_together_and_no_word_twice(spark):
+    item, other = prose(50, 45).split(" "), prose(51, 7)
+    spread = item[:15] + ["inserted"] + item[15:30] + ["anew"] + item[30:]
+    cut = item[:15] + item[17:31] + item[33:]
+    echo = f"{other} once {other} twice {prose(52, 4)}"  # 20 words, of which a document holds 7
+    docs = [(1, f"{prose(53, 30)} {' '.join(spread)} {prose(54, 30)}"), (2, f"{prose(55, 31)} {' '.join(cut)} {prose(56, 30)}"),
+            (3, f"{prose(57, 30)} {other} {prose(58, 30)}"), (4, " ".join(item[:15] + prose(59, 40).split(" ") + item[38:]))]
+    rows = {(r.doc_id, r.item_id): r for r in dc.contaminated(*frames(spark, docs, [(1, " ".join(item)), (2, echo)])).collect()}
+    assert set(rows) == {(1, 1), (2, 1)}
+    assert rows[1, 1].matched == 45 and rows[2, 1].matched == 41 and rows[1, 1].starts_at == 30
+
+
+def test_slots_are_held_against_each_other_inside_the_stretches_only(spark):
+    quoted = prose(60, 12) + " then Anna paid 12 euros to Bert and left " + prose(61, 6)
+    item = quoted + " while Anna had 12 kg of flour and Bert none at home"
+    own = quoted + " whose Carl had 40 lb in Oslo but Emil saw it as well"  # slots stand where the item has others
+    sums = "Add 3 and 5 to what the two boxes hold before you close both of them again"
+    docs = [(1, own), (2, sums.replace("3 and 5", "4 and 4"))]
+    assert found(dc.contaminated(*frames(spark, docs, [(1, item), (2, sums)]))) == {(1, 1), (2, 2)}
+
+
+def test_short_items_need_more_than_half(spark):
+    item = prose(62, 12).split(" ")
+    docs = [(1, " ".join([prose(63, 20), *item[:6], prose(64, 20)])), (2, " ".join([prose(65, 20), *item[:10], prose(66, 20)])),
+            (3, prose(67, 9) + " costs 5 kg in Rome then " + prose(68, 9))]
+    items = [(1, " ".join(item)), (2, "it costs 9 kg in Bern then so")]
+    assert found(dc.contaminated(*frames(spark, docs, items))) == {(2, 1)}
