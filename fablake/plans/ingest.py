@@ -23,7 +23,7 @@ import datetime as dt
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fablake.functions.jsondoc import strict_parse_json
@@ -230,7 +230,7 @@ def run(requests: DataFrame, batch_time: dt.datetime, reg: Registry | None = Non
     return IngestResult(checked, reg)
 
 
-SINKS = ("bronze", "topics", "lot_master", "raw_events", "ingestion_log", "quarantine")
+SINKS = ("bronze", "topics", "lot_master", "raw_events", "ingestion_log", "quarantine", "left_out")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -245,27 +245,37 @@ def batch_key(checked: DataFrame) -> str:
     return f"{n}-{(mark or 0) & 0xFFFFFFFFFFFFFFFF:016x}"
 
 
-def first_deliveries(checked: DataFrame, base: str) -> DataFrame:
-    """Requests that no earlier batch has, each once: a request is known by its id, and of several
-    deliveries in one batch the one with the smallest payload hash counts."""
+def dealt_deliveries(checked: DataFrame, base: str, batch: str) -> DataFrame:
+    """``checked`` with ``counts``: false where a delivery is left out of the sinks.
+
+    A request is known by its id.  Of several deliveries in one batch an accepted one counts before a rejected
+    one, then the one with the smallest payload hash.  Left out are the others, requests that another batch
+    has with SUCCESS, and rejected ones that another batch has with the same error: a corrected delivery of
+    a request that was rejected counts.  A replayed batch counts what it has in the log."""
     spark = checked.sparkSession
-    once = checked.groupBy("request_id").agg(F.min_by(F.struct(*checked.columns), F.xxhash64(F.to_json("payload"), "error_message")).alias("r"))
-    once = once.select("r.*")
-    log = f"{base.rstrip('/')}/ingestion_log"
-    if not _exists(spark, log):
-        return once
-    mine = batch_key(checked)
-    known = spark.read.parquet(log).filter(F.col("batch") != mine).select("request_id")
-    return once.join(known, "request_id", "left_anti").select(*checked.columns)
+    order = [~F.col("accepted"), F.xxhash64(F.to_json("payload"), "error_message")]
+    dealt = checked.withColumn("turn", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)))
+    known, log = F.lit(False), f"{base.rstrip('/')}/ingestion_log"
+    if _exists(spark, log):
+        earlier = spark.read.parquet(log).groupBy("request_id").agg(
+            F.bool_or(F.col("batch") == batch).alias("own"), F.bool_or(F.col("status") == "SUCCESS").alias("done"),
+            F.collect_set("error_message").alias("earlier_errors"))
+        dealt = dealt.join(earlier, "request_id", "left")
+        same_error = ~F.col("accepted") & F.array_contains("earlier_errors", F.substring("error_message", 1, MAX_ERROR_TEXT))
+        known = F.coalesce(~F.col("own") & (F.col("done") | same_error), F.lit(False))
+    return dealt.select(*checked.columns, ((F.col("turn") == 1) & ~known).alias("counts"))
 
 
 def write(result: IngestResult, base: str) -> dict[str, str]:
     """Append the batch to the sinks. Every sink is partitioned by the batch's own key below its day or
     topic, and only that partition is overwritten: a replayed batch rewrites its rows, any other batch
-    adds to them. The audit log is written last; until it is, the batch counts as not delivered."""
+    adds to them. Deliveries that are left out get an audit row in a sink of their own. The audit log is
+    written last; until it is, the batch counts as not delivered."""
     paths = {name: f"{base.rstrip('/')}/{name}" for name in SINKS}
     batch = batch_key(result.checked)
-    new = IngestResult(first_deliveries(result.checked, base).persist(StorageLevel.MEMORY_AND_DISK), result._reg)
+    dealt = dealt_deliveries(result.checked, base, batch).persist(StorageLevel.MEMORY_AND_DISK)
+    new = IngestResult(dealt.filter("counts"), result._reg)
+    rest = IngestResult(dealt.filter("NOT counts"), result._reg)
 
     def put(df: DataFrame, name: str, *parts: str) -> None:
         df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
@@ -277,8 +287,9 @@ def write(result: IngestResult, base: str) -> dict[str, str]:
     put(new.lots.withColumn("_day", day), "lot_master", "_day")
     put(new.raws.withColumn("_day", day), "raw_events", "source", "_day")
     put(new.quarantine.withColumn("_day", day), "quarantine", "_day")
+    put(rest.audit.withColumns({"status": F.lit("LEFT_OUT"), "_day": day}), "left_out", "_day")
     put(new.audit.withColumn("_day", day), "ingestion_log", "_day")
-    new.checked.unpersist()
+    dealt.unpersist()
     return paths
 
 

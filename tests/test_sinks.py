@@ -84,3 +84,18 @@ def test_upsert_ties_do_not_depend_on_row_order(spark):
     seen = {tuple(sorted((r.id, r.v) for r in upsert(base, spark.createDataFrame(c, "id long, v string, n int"), "id", "n").collect()))
             for c in (changes, changes[::-1])}
     assert len(seen) == 1 and dict(seen.pop())[1] in "xy"
+
+
+def test_a_corrected_delivery_counts_and_left_out_ones_are_audited(spark, tmp_dir):
+    base = os.path.join(tmp_dir, "corrected")
+    bad = [(k, "erp", "application/json", b"{") for k in ("x", "y", "z")]
+    batches = [[bad[0], bad[2], _erp("a")], [_erp("x"), bad[1], _erp("y"), bad[2], _erp("a", plant="again")]]
+    for rows in [*batches, batches[0]]:
+        r = ing.run(spark.createDataFrame(rows, COLUMNS), ing.BATCH_TIME)
+        ing.write(r, base)
+        r.checked.unpersist()
+    rows = lambda sink: sorted((r.request_key, r.status) for r in spark.read.parquet(f"{base}/{sink}").collect())
+    assert rows("ingestion_log") == [("a", "SUCCESS"), ("x", "FAILED"), ("x", "SUCCESS"), ("y", "SUCCESS"), ("z", "FAILED")]
+    assert rows("left_out") == [(k, "LEFT_OUT") for k in "ayz"]
+    assert len(_keys(spark, base, "bronze")) == len(_keys(spark, base, "raw_events")) == 3
+    assert _keys(spark, base, "quarantine", "request_key") == ["x", "z"]
