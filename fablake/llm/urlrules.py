@@ -7,7 +7,7 @@ fewest URLs have becomes the rule's index key; a rule without a token has the em
 carries.  The tokens of each distinct URL fetch candidate rules, and only those run their regular expression.
 
 Address rules (``host/path``) are patterns too, ``||host/path``, and come before other patterns; the
-longest wins.  Of other patterns an allowing one wins over a blocking one, then the longest.
+longest wins; the case of their path counts, that of other patterns does not.  Of other patterns an allowing one wins over a blocking one, then the longest.
 
 The rules are an argument, so their number is known: up to ``BROADCAST_RULES`` the index is broadcast,
 beyond that the same join shuffles.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from fablake.llm.common import table
 
 BROADCAST_RULES = 100_000
+FOLDED = "(?i)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,7 +50,8 @@ class UrlRule(NamedTuple):
         body = self.pattern.removeprefix("||")
         parts = {"*": ".*", "^": "(?:[^A-Za-z0-9_.%-]|$)"}
         out = "".join(parts.get(c) or (c if c.isascii() and c.isalnum() else "\\" + c if c.isascii() else c) for c in body)
-        return r"^(?:[^/?#]*\.)?" + out if self.pattern.startswith("||") else out
+        out = r"^(?:[^/?#]*\.)?" + out if self.pattern.startswith("||") else out
+        return out if self.address else FOLDED + out
 
 
 ADDRESS_RULES = [
@@ -122,7 +124,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    values = ", ".join(f"('{r.rule}', '{r.regex}', '{r.action}', {r.address}, {len(r.rule)})" for r in ADDRESS_RULES + PATTERN_RULES)
+    # the SQL is as it was, case-sensitive: it agrees on tables whose URLs have no such upper-case letters
+    values = ", ".join(f"('{r.rule}', '{r.regex.removeprefix(FOLDED)}', '{r.action}', {r.address}, {len(r.rule)})" for r in ADDRESS_RULES + PATTERN_RULES)
     return rf"""
 WITH rules(rule, regex, action, address, length) AS (VALUES {values}),
 r AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -47,6 +47,14 @@ def test_urls_against_brute_force(spark):
     assert {r.verdict for r in ur.judge_urls(df, []).collect()} == {"allow"}
 
 
+def test_patterns_fold_case_and_addresses_do_not(spark):
+    rows = [("http://x.org/a?PHPSESSID=1", "block"), ("http://x.org/a?b&PhpSessId=1", "block"), ("http://x.org/Ads/1", "block"),
+            ("http://x.org/CGI-BIN/q", "block"), ("http://x.org/Login?ReturnTo=my-Wiki", "allow"), ("http://x.org/Login?a", "block"),
+            ("http://example.com/DE/x", "allow"), ("http://example.com/de/x", "block")]
+    out = ur.judge_urls(spark.createDataFrame(rows, "url string, want string"), ur.ADDRESS_RULES + ur.PATTERN_RULES).collect()
+    assert len(out) == len(rows) and all(r.verdict == r.want for r in out), out
+
+
 def test_index_key_is_a_token_that_every_fit_has():
     for r in ur.ADDRESS_RULES + ur.PATTERN_RULES:
         for u in filter(None, URLS):
