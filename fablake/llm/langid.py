@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from fablake.llm import textscan as ts
 from fablake.llm.common import kept, table
 
+#: What the text model is fitted on: so many rows, and the most frequent languages among them (a table of half a
+#: megabyte each in every worker). Counts behind priors and likelihoods cover all rows.
 FIT_ROWS = 20_000
 MAX_LANGUAGES = 200
 BUCKETS = 1 << 16
@@ -90,8 +92,8 @@ def fit(documents: DataFrame, fit_rows: int = FIT_ROWS) -> TextModel:
 
 def _score(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = model.value
-        k = table_.shape[1]
+        table_ = np.ascontiguousarray(model.value.T)
+        k = len(table_)
         for batch in batches:
             for scan in ts.scans(batch):
                 bucket, text = _trigrams(scan)
@@ -100,7 +102,8 @@ def _score(model) -> object:
                 total = np.zeros((scan.rows, k))
                 some = np.flatnonzero(n)
                 if len(some):
-                    total[some] = np.add.reduceat(table_[bucket], at[some], axis=0)
+                    for j in range(k):  # a language at a time: memory follows the text, not the languages
+                        total[some, j] = np.add.reduceat(table_[j][bucket], at[some])
                 total /= np.sqrt(np.maximum(n, 1))[:, None]
                 total -= total.max(axis=1, initial=-np.inf)[:, None] if k else 0
                 best = np.where(n >= LEAST_TRIGRAMS, total.argmax(axis=1), -1) if k else np.full(scan.rows, -1)
@@ -135,7 +138,8 @@ def document_rows(documents: DataFrame) -> DataFrame:
 
 
 def _counts(languages: list[str], suffix: str = "") -> list[Column]:
-    return [F.sum((F.col("best") == k).cast("double")).alias(f"n{k}{suffix}") for k in range(len(languages))]
+    """Rows of each language; rows too short to tell count for none, so a group of only such rows has zeros."""
+    return [F.count_if(F.col("best") == k).cast("double").alias(f"n{k}{suffix}") for k in range(len(languages))]
 
 
 def identify(rows: DataFrame, model: TextModel) -> DataFrame:
@@ -190,7 +194,10 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     declared, address = likelihood("declared"), likelihood("address")
     # a declared language has two or three letters: 18,252 values at most
     out = scored.join(F.broadcast(declared), scored["declared"] == declared["_declared"], "left")
-    out = out.join(address, out["address"] == address["_address"], "left").join(prior, out["host"] == prior["_host"], "left")
+    # rows without a value find nothing, each at a place of its own: they do not meet in one task
+    nowhere = F.concat(F.lit("\0"), F.pmod(F.xxhash64("doc_id", "page_id", "scores"), F.lit(4096)).cast("string"))
+    out = out.withColumns({"_at": F.coalesce("address", nowhere), "_of": F.coalesce("host", nowhere)})
+    out = out.join(address, F.col("_at") == address["_address"], "left").join(prior, F.col("_of") == prior["_host"], "left")
     nothing = F.array(*[F.lit(0.0)] * k)
     fused = F.zip_with(F.zip_with("scores", F.coalesce("l_declared", nothing), lambda a, b: a + b),
                        F.zip_with(F.coalesce("l_address", nothing), F.coalesce("prior", above), lambda a, p: a + F.log(p)), lambda a, b: a + b)

@@ -77,6 +77,9 @@ def test_fusion_against_brute_force(spark, documents, model):
     rows += [{"doc_id": 100 + i, "page_id": 7, "declared": "fr" if i else None, "host": h, "address": None, "text": t}
              for i, (h, t) in enumerate([(None, None), ("a.example.com", ""), ("x", "ab"), ("x", "\U0001F600" * 40)])]
     rows += [dict(rows[3]), dict(rows[3])]
+    # hosts, declared values and addresses that only short texts have
+    rows += [{"doc_id": 200 + i, "page_id": None, "declared": d, "host": h, "address": a, "text": "ab"}
+             for i, (d, h, a) in enumerate([("qq", "short.net", None), ("qq", "y.short.net", "net/q"), ("en", "short.net", "net/q"), (None, "alone", None)])]
     out = li.identify(spark.createDataFrame(rows, li.ROW), model).collect()
     got = Counter((r.doc_id, r.page_id, r.text_lang, r.lang, round(r.probability, 6)) for r in out)
     assert got == brute_fuse(rows, model)
