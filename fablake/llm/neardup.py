@@ -42,8 +42,8 @@ COORDINATES, BANDS, ROWS = 256, 51, 5
 DIGEST_LONGS, PLACES_APART = 8, 80
 #: Up to so many ids (8 bytes each) are broadcast to pick texts out of the documents.
 BROADCAST_IDS = 500_000
-#: Pairs whose sets are held at a time.
-VERIFY_ROWS = 256
+#: Ratio of neighbouring size bands in the join of prefixes; holders of a shingle that one salt stands for.
+BAND_RATIO, SALT_ROWS = 1.1, 2_000
 U64 = np.uint64
 _WORD = ts.stream(2, SHINGLE)
 _ROUND = ts.stream(3, 2 * COORDINATES)
@@ -129,27 +129,17 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(identity[0]), pa.array(identity[1]), _lists(bands), _lists(digest)], schema=_SIGNATURE)
 
 
-_VERDICT = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, text of u, text of v) -> whether 100 * intersection >= PERCENT * union of the full sets."""
-    for whole in batches:
-        for lo in range(0, whole.num_rows, VERIFY_ROWS):
-            batch = whole.slice(lo, VERIFY_ROWS)
-            size, found = np.zeros(batch.num_rows, np.int64), []
-            for column in ("u_text", "v_text"):
-                for scan in ts.scans(batch, column):
-                    hashes, at = shingle_sets(scan)
-                    size[scan.first: scan.first + scan.rows] += np.diff(at)
-                    found.append((hashes, scan.first + ts.text_index(at)))
-            hashes, row = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((hashes, row))
-            hashes, row = hashes[order], row[order]
-            twice = row[1:][(hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])]
-            common = np.bincount(twice, minlength=batch.num_rows)
-            linked = (size > 0) & (100 * common >= PERCENT * (size - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], schema=_VERDICT)
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> the whole set, sorted, one row for each text that has words."""
+    for batch in batches:
+        ids = batch.column(0)
+        for scan in ts.scans(batch):
+            hashes, at = shingle_sets(scan)
+            lists = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids.slice(scan.first, scan.rows), lists], schema=_SETS).filter(pa.array(np.diff(at) > 0))
 
 
 def _apart(a: str, b: str) -> Column:
@@ -167,18 +157,22 @@ def _texts(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
     return found.withColumn("_hash", F.xxhash64("text")).repartition("doc_id").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
 
 
-def _linked(pairs: DataFrame, about: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (u, v) that are linked.  Size and digest rule most of the others out before
-    a text is fetched: sizes apart by more than the threshold exclude a link for certain."""
+def _linked(pairs: DataFrame, about: DataFrame, docs: DataFrame, by_digest: bool) -> DataFrame:
+    """Those of the distinct pairs (u, v) that are linked.  Sizes apart by more than the threshold exclude a link for certain,
+    before a set is fetched; so do, ``by_digest``, digests far apart, but for one pair of similarity 0.75 in ten million.
+    The rest is decided on the full sets, row by row."""
     left = about.select(F.col("rep").alias("u"), F.col("n_shingles").alias("u_n"), F.col("digest").alias("u_d"))
     right = about.select(F.col("rep").alias("v"), F.col("n_shingles").alias("v_n"), F.col("digest").alias("v_d"))
-    near = pairs.join(left, "u").join(right, "v").filter(_sizes("u_n", "v_n") & (_apart("u_d", "v_d") <= PLACES_APART)).select("u", "v")
-    near = kept(near, "pairs")
-    texts = _texts(docs, near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), 2 * near.count())
-    with_u = near.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
-    with_both = with_u.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v")
-    checked = with_both.select("u", "v", "u_text", "v_text").mapInArrow(verify, "u long, v long, linked boolean")
-    return checked.filter("linked").select("u", "v")
+    near = pairs.join(left, "u").join(right, "v").filter(_sizes("u_n", "v_n"))
+    if by_digest:
+        near = near.filter(_apart("u_d", "v_d") <= PLACES_APART)
+    near = kept(near.select("u", "v"), "pairs")
+    ids = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sets = kept(_texts(docs, ids, 2 * near.count()).select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
+    with_u = near.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("u_set")), "u")
+    with_both = with_u.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("v_set")), "v")
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    return with_both.filter((100 + PERCENT) * common >= PERCENT * (F.size("u_set") + F.size("v_set"))).select("u", "v")
 
 
 def _sizes(a: str, b: str) -> Column:
@@ -220,18 +214,23 @@ def _prefix_pairs(labels: DataFrame, docs: DataFrame) -> DataFrame:
     prefix = ranked.filter(F.expr(f"place <= n - (({PERCENT} * n + 99) div 100) + 1")).select("rep", "n", "shingle", "place")
     prefix = kept(prefix.join(labels, "rep"), "prefixes")
     parts = prefix.groupBy("shingle", "label").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("shingle").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("major"))
-    every = prefix.join(mixed.filter("labels > 1").select("shingle", "major"), "shingle")
+    mixed = parts.groupBy("shingle").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("major"),
+                                         F.ceil(F.sum("size") / SALT_ROWS).cast("int").alias("salts"))
+    every = prefix.join(mixed.filter("labels > 1").select("shingle", "major", "salts"), "shingle")
+    # at their first common shingle, two sets can have no more in common than what stands behind it in either order; so
+    # a row admits partners up to a size only, and pairs of other sizes never meet
+    most_partner = F.expr(f"cast({100 + PERCENT} * (1 + n - place) div {PERCENT} - n as long)")
+    least_partner = F.expr(f"({PERCENT} * n + 99) div 100")
+    band = lambda n: F.floor(F.log(n) / float(np.log(BAND_RATIO))).cast("int")
     # one of two classes in different components is outside the largest part, so only those rows meet the rest
-    minor = every.filter("label <> major").select("shingle", "rep", "n", "place", "label")
-    other = every.select("shingle", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("place").alias("other_place"),
-                         F.col("label").alias("other_label"), "major")
-    # at their first common shingle, two sets can have no more in common than what stands behind it in either
-    # order; a pair of enough similarity passes there, one that shares a frequent passage and little else does not
-    most = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
-    pairs = minor.join(other, "shingle").filter(
-        F.expr("label <> other_label and (other_label = major or rep < other)") & _sizes("n", "other_n")
-        & ((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("other_n"))))
+    minor = every.filter("label <> major").withColumns({"least": least_partner, "most": most_partner}).filter("least <= most").select(
+        "shingle", "rep", "n", "label", "least", "most", "salts", F.explode(F.sequence(band(F.col("least")), band(F.col("most")))).alias("band"))
+    minor = minor.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).drop("salts")
+    other = every.select("shingle", F.col("rep").alias("other"), F.col("n").alias("other_n"), most_partner.alias("other_most"),
+                         F.col("label").alias("other_label"), "major", band(F.col("n")).alias("band"),
+                         F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"))
+    pairs = minor.join(other, ["shingle", "band", "salt"]).filter(
+        F.expr("label <> other_label and (other_label = major or rep < other) and other_n between least and most and n <= other_most"))
     return _ordered(pairs.select("rep", "other"))
 
 
@@ -257,7 +256,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min("rep").alias("hub"), F.min(F.struct(F.xxhash64("rep"), "rep"))["rep"].alias("hub_2")).filter("n > 1")
     member = kept(member.join(crowded, "band"), "buckets")
     pairs = _ordered(member.select("rep", F.explode(F.array("hub", "hub_2")).alias("hub")))
-    links = _linked(pairs, about, docs)
+    links = _linked(pairs, about, docs, by_digest=True)
 
     # one doc_id with several texts is one document of several classes: they are linked through it
     identity = F.struct(*key)
@@ -272,7 +271,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     mixed = state.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
     labels = kept(state.join(mixed.select("band"), "band", "left_semi").select("rep", "label").distinct(), "open")
     if labels.count():
-        more = _linked(_prefix_pairs(labels, docs), about, docs)
+        more = _linked(_prefix_pairs(labels, docs), about, docs, by_digest=False)
         stars = components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     label = classes.select(*key, "rep").join(stars, classes["rep"] == stars["node"], "left").select(

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fablake.llm import worker
 from fablake.llm.common import kept, table
 from fablake.llm.prefix import with_offsets
 
@@ -111,22 +112,12 @@ class WordIds:
         return b"".join(out)
 
 
-_coders: dict[str, WordIds] = {}
-
-
-def _coder(path: str) -> WordIds:
-    """One for each tokenizer and worker process: tables fill once, not once a task."""
-    if path not in _coders:
-        _coders[path] = WordIds(path)
-    return _coders[path]
-
-
 def _tokenize(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        coder, total = _coder(path), 0
+        coder, total = worker.table(("word ids", path), lambda: WordIds(path)), 0
         end = np.asarray([END], "<u4").tobytes()
         rows: list[tuple] = []
         held = 0

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from fablake.llm import worker
+
 CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 
@@ -50,12 +52,16 @@ _powers = np.ones(1, U64)
 _inverses = np.ones(1, U64)
 
 
-def _grow_powers(n: int) -> None:
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n of each at least; those for a text much longer than a chunk are not kept."""
     global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers))
-        _powers = np.concatenate([np.ones(1, U64), np.cumprod(np.full(size - 1, _BASE, U64))])
-        _inverses = np.concatenate([np.ones(1, U64), np.cumprod(np.full(size - 1, _INVERSE, U64))])
+    if n <= len(_powers):
+        return _powers, _inverses
+    size = max(n, 2 * len(_powers))
+    both = tuple(np.concatenate([np.ones(1, U64), np.cumprod(np.full(size - 1, x, U64))]) for x in (_BASE, _INVERSE))
+    if size <= 4 * CHUNK_BYTES:
+        _powers, _inverses = both
+    return both
 
 
 class Scan:
@@ -101,12 +107,12 @@ class Scan:
     def hashes(self, begin: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
         """64-bit hash of each span; ``lower`` folds A-Z first."""
         n = len(self.data)
-        _grow_powers(n + 1)
+        powers, inverses = _power_tables(n + 1)
         values = _BYTE[LOWER[self.data] if lower else self.data]
-        values *= _powers[:n]
+        values *= powers[:n]
         prefix = np.zeros(n + 1, U64)
         np.cumsum(values, out=prefix[1:])
-        h = (prefix[end] - prefix[begin]) * _inverses[begin]
+        h = (prefix[end] - prefix[begin]) * inverses[begin]
         return mix(h + (end - begin).astype(U64) * _LENGTH)
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
@@ -118,6 +124,7 @@ class Scan:
 
 def scans(batch: pa.RecordBatch, column: str = "text") -> Iterator[Scan]:
     """The batch's texts, in runs of rows; a null text is an empty one."""
+    worker.release()
     values = batch.column(batch.schema.get_field_index(column))
     if not pa.types.is_large_string(values.type):
         values = values.cast(pa.large_string())
