@@ -57,9 +57,9 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if n <= len(_powers):
         return _powers, _inverses
-    size = max(n, 2 * len(_powers))
+    size = max(n, CHUNK_BYTES + 1)
     both = tuple(np.concatenate([np.ones(1, U64), np.cumprod(np.full(size - 1, x, U64))]) for x in (_BASE, _INVERSE))
-    if size <= 4 * CHUNK_BYTES:
+    if n <= CHUNK_BYTES + 1:
         _powers, _inverses = both
     return both
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _held: dict[Hashable, Any] = {}
 
 
@@ -21,4 +23,6 @@ def table(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def release() -> None:
+    """Frees the table, and what Arrow keeps for later batches."""
     _held.clear()
+    pa.default_memory_pool().release_unused()
