@@ -1407,20 +1407,22 @@ def search_batch(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Reconciliation (J-7, R-1, A-8)
 # ---------------------------------------------------------------------------
+from fablake.operators import commits  # noqa: E402
 from fablake.operators import reconcile as rec  # noqa: E402
 
 
 def _reconcile(spark, sf_dir, drop_curated: bool = False):
     # the three layers as they were written, read back
     result = _ingest(spark, sf_dir)
-    paths = ing.write(result, scratch_path(spark, "lake"))
+    base = scratch_path(spark, "lake")
+    ing.write(result, base)
     result.checked.unpersist()
-    lots, raws = (spark.read.parquet(paths[t]) for t in ("lot_master", "raw_events"))
+    lots, raws, bronze, topics = (commits.read(spark, base, t) for t in ("lot_master", "raw_events", "bronze", "topics"))
     curated = lots.select(F.lit("mes").alias("source"), "request_id").unionByName(raws.select("source", "request_id"))
     if drop_curated:
         # one curated row lost per plm request key ending in 0: the stricter check must flag it
         curated = curated.filter(~((F.col("source") == "plm") & F.col("request_id").endswith("0")))
-    return rec.reconcile(spark.read.parquet(paths["bronze"]), spark.read.parquet(paths["topics"]), curated)
+    return rec.reconcile(bronze, topics, curated)
 
 
 RECONCILE_SQL = """,
@@ -1458,6 +1460,43 @@ def reconcile_overall(spark, sf_dir):
     return rec.overall(_reconcile(spark, sf_dir, drop_curated=True))
 
 
+@register(
+    "sink_commits",
+    _ingest_sql("""
+, sides AS (SELECT source, request_id, reason, event_type FROM req2)
+SELECT source, COUNT(*) AS n_logged, count_if(reason IS NULL) AS n_bronze, count_if(reason IS NULL) AS n_topics,
+       count_if(reason IS NULL) AS n_curated, count_if(reason IS NOT NULL) AS n_quarantined, COUNT(*) AS n_requests, 2 AS n_commits
+FROM sides GROUP BY source"""),
+)
+def sink_commits(spark, sf_dir):
+    """X-2 / K-1..K-6, K-10: a batch dies after its rows were written, the job comes back with other cuts that
+    overlap, and one batch is delivered again; every sink shows each request once."""
+    base = scratch_path(spark, "commits")
+    requests = ing.requests_from_tables(spark, sf_dir).withColumn("_cut", F.pmod(F.xxhash64("request_key"), F.lit(12)))
+
+    def batch(keep, commit: bool) -> None:
+        result = ing.run(requests.filter(keep).drop("_cut"), ing.BATCH_TIME)
+        (ing.write if commit else ing.stage)(result, base)
+        result.checked.unpersist()
+
+    cut = F.col("_cut")
+    batch(cut < 4, False)
+    batch(cut < 6, True)
+    batch(cut >= 4, True)
+    batch(cut < 6, True)
+    count = lambda sink, name: commits.read(spark, base, sink).groupBy("source").agg(
+        F.count(F.lit(1)).alias(name), F.count_distinct("request_id").alias("n_requests"))
+    out = count("ingestion_log", "n_logged")
+    lots = commits.read(spark, base, "lot_master").select(F.lit("mes").alias("source"), "request_id")
+    curated = lots.unionByName(commits.read(spark, base, "raw_events").select("source", "request_id"))
+    topics = commits.read(spark, base, "topics")
+    for df, name in ((commits.read(spark, base, "bronze"), "n_bronze"), (topics, "n_topics"), (curated, "n_curated"),
+                     (commits.read(spark, base, "quarantine"), "n_quarantined")):
+        out = out.join(df.groupBy("source").agg(F.count(F.lit(1)).alias(name)), "source", "left")
+    names = ["n_bronze", "n_topics", "n_curated", "n_quarantined"]
+    return out.fillna(0, names).select("source", "n_logged", *names, "n_requests", F.lit(commits.listed(spark, base).count()).alias("n_commits"))
+
+
 # ---------------------------------------------------------------------------
 # Streaming (X-1..X-5, S-16)
 # ---------------------------------------------------------------------------
@@ -1485,7 +1524,7 @@ def _stream_run(spark, sf_dir, replay: bool):
 def stream_ingest(spark, sf_dir):
     """X-1 / X-2: landing files drained by an availableNow stream; audit equals the batch run."""
     _base, out = _stream_run(spark, sf_dir, replay=False)
-    audit = spark.read.parquet(f"{out}/ingestion_log")
+    audit = commits.read(spark, out, "ingestion_log")
     return audit.groupBy("source", "status").agg(F.count(F.lit(1)).alias("n_requests"))
 
 
@@ -1493,7 +1532,7 @@ def stream_ingest(spark, sf_dir):
 def stream_replay(spark, sf_dir):
     """X-3: a redelivered file, a re-run, and a run from a new checkpoint add no rows."""
     _base, out = _stream_run(spark, sf_dir, replay=True)
-    audit = spark.read.parquet(f"{out}/ingestion_log")
+    audit = commits.read(spark, out, "ingestion_log")
     return audit.groupBy("source", "status").agg(F.count(F.lit(1)).alias("n_requests"))
 
 

@@ -13,13 +13,14 @@ outputs are projections of that one relation:
 * ``accepted``   P-6 acceptance record; ``quarantine`` K-10 rejected rows with reasons
 
 Ids are content hashes (``request_id = H(source, request_key)``), the batch
-time is one literal, so a re-run produces identical rows. The writers append by
-batch: a replay overwrites its own partition, another batch of the day adds one.
+time is one literal, so a re-run produces identical rows. The writers append by batch and
+commit it in a manifest, last of all; a replay adds nothing (``operators/commits.py``).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 from fablake.functions.jsondoc import strict_parse_json
 
 from fablake.functions.ids import content_id
+from fablake.operators import commits
 from fablake.operators import validate as val
 from fablake.registry import Registry, load_registry, sources_frame, streams_frame
 from fablake.registry.tables import columns_of
+from fablake.session import scratch_path
 from fablake.sources.formats import resolve_format
 
 # FIXED VALUE: length of the audit table's error_message; quarantine keeps the whole text
@@ -231,55 +234,74 @@ def run(requests: DataFrame, batch_time: dt.datetime, reg: Registry | None = Non
 
 
 SINKS = ("bronze", "topics", "lot_master", "raw_events", "ingestion_log", "quarantine", "left_out")
+#: Index of the requests that committed batches have, in slots: by source, then by the first digit of the id.
+KNOWN, OTHER_SOURCE = "known", "other"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether the path is there, in whatever store Spark reads it from."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def _slot(reg: Registry) -> Column:
+    """A request's slot of the index; sources that the registry does not have share theirs, so the number of slots is bounded."""
+    known = F.when(F.col("source").isin(*reg.sources), F.col("source")).otherwise(F.lit(OTHER_SOURCE))
+    return F.concat_ws("-", known, F.substring("request_id", 1, 1))
 
 
-def batch_key(checked: DataFrame) -> str:
-    """Identity of a batch by its content, so that a replay has the key it had."""
-    n, mark = checked.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("request_id", F.to_json("payload")))).first()
-    return f"{n}-{(mark or 0) & 0xFFFFFFFFFFFFFFFF:016x}"
+def _error_mark() -> Column:
+    return F.xxhash64(F.substring("error_message", 1, MAX_ERROR_TEXT))
 
 
-def dealt_deliveries(checked: DataFrame, base: str, batch: str) -> DataFrame:
-    """``checked`` with ``counts``: false where a delivery is left out of the sinks.
+def known_requests(spark: SparkSession, base: str, slots: list[str]) -> DataFrame:
+    """(request_id, done, error) that committed batches have in these slots: partitions of the index, narrow columns, not the log."""
+    return commits.read(spark, base, KNOWN).filter(F.col("slot").isin(*slots)).select("request_id", "done", "error")
+
+
+def dealt_deliveries(checked: DataFrame, base: str, reg: Registry) -> DataFrame:
+    """``checked`` with ``slot`` and ``counts``: false where a delivery is left out of the sinks.
 
     A request is known by its id.  Of several deliveries in one batch an accepted one counts before a rejected
-    one, then the one with the smallest payload hash.  Left out are the others, requests that another batch
-    has with SUCCESS, and rejected ones that another batch has with the same error: a corrected delivery of
-    a request that was rejected counts.  A replayed batch counts what it has in the log."""
+    one, then the one with the smallest payload hash.  Left out are the others, requests that a committed batch
+    has with SUCCESS, and rejected ones that one has with the same error: a corrected delivery of a request that
+    was rejected counts."""
     spark = checked.sparkSession
     order = [~F.col("accepted"), F.xxhash64(F.to_json("payload"), "error_message")]
-    dealt = checked.withColumn("turn", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)))
-    known, log = F.lit(False), f"{base.rstrip('/')}/ingestion_log"
-    if _exists(spark, log):
-        earlier = spark.read.parquet(log).groupBy("request_id").agg(
-            F.bool_or(F.col("batch") == batch).alias("own"), F.bool_or(F.col("status") == "SUCCESS").alias("done"),
-            F.collect_set("error_message").alias("earlier_errors"))
-        dealt = dealt.join(earlier, "request_id", "left")
-        same_error = ~F.col("accepted") & F.array_contains("earlier_errors", F.substring("error_message", 1, MAX_ERROR_TEXT))
-        known = F.coalesce(~F.col("own") & (F.col("done") | same_error), F.lit(False))
-    return dealt.select(*checked.columns, ((F.col("turn") == 1) & ~known).alias("counts"))
-
-
-def write(result: IngestResult, base: str) -> dict[str, str]:
-    """Append the batch to the sinks. Every sink is partitioned by the batch's own key below its day or
-    topic, and only that partition is overwritten: a replayed batch rewrites its rows, any other batch
-    adds to them. Deliveries that are left out get an audit row in a sink of their own. The audit log is
-    written last; until it is, the batch counts as not delivered."""
-    paths = {name: f"{base.rstrip('/')}/{name}" for name in SINKS}
-    batch = batch_key(result.checked)
-    dealt = dealt_deliveries(result.checked, base, batch).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = checked.withColumns({"slot": _slot(reg), "turn": F.row_number().over(Window.partitionBy("request_id").orderBy(*order))})
+    known = F.lit(False)
+    if commits.exists(spark, f"{base.rstrip('/')}/{KNOWN}"):
+        slots = [r[0] for r in checked.select(_slot(reg).alias("slot")).distinct().collect()]  # 16 for each source at most
+        index = known_requests(spark, base, slots)
+        done = index.filter("done").select("request_id", F.lit(True).alias("_done")).distinct()
+        failed = index.filter("not done").select("request_id", F.col("error").alias("_error"), F.lit(True).alias("_failed")).distinct()
+        dealt = dealt.withColumn("_error", F.when(~F.col("accepted"), _error_mark()))
+        dealt = dealt.join(done, "request_id", "left").join(failed, ["request_id", "_error"], "left")
+        known = F.coalesce("_done", "_failed", F.lit(False))
+    return dealt.select(*checked.columns, "slot", ((F.col("turn") == 1) & ~known).alias("counts"))
+
+
+@dataclass
+class Staged:
+    """A batch whose rows are in the sinks, but not in the manifest."""
+
+    base: str
+    content: str
+    attempt: str
+    n_rows: int
+
+
+def stage(result: IngestResult, base: str) -> Staged | None:
+    """Writes the batch's rows under an attempt of their own; None where its content is committed already, or it has no rows.
+    Deliveries that are left out get an audit row in a sink of their own."""
+    spark = result.checked.sparkSession
+    content, n_rows = commits.content_digest(result.checked, "request_id", F.to_json("payload"), "error_message")
+    if not n_rows or commits.is_listed(spark, base, content):
+        return None
+    attempt = commits.new_attempt(content)
+    # written, not cached: seven sinks read it, and a lost executor costs no second evaluation
+    path = scratch_path(spark, "dealt")
+    dealt_deliveries(result.checked, base, result._reg).write.parquet(path)
+    dealt = spark.read.parquet(path)
     new = IngestResult(dealt.filter("counts"), result._reg)
     rest = IngestResult(dealt.filter("NOT counts"), result._reg)
 
     def put(df: DataFrame, name: str, *parts: str) -> None:
-        df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy(*parts, "batch").parquet(paths[name])
+        df.withColumn("batch", F.lit(attempt)).write.mode("append").partitionBy(*parts, "batch").parquet(f"{base.rstrip('/')}/{name}")
 
     day = F.to_date("created_at")
     put(new.bronze, "bronze", "source", "year", "month", "day")
@@ -289,8 +311,18 @@ def write(result: IngestResult, base: str) -> dict[str, str]:
     put(new.quarantine.withColumn("_day", day), "quarantine", "_day")
     put(rest.audit.withColumns({"status": F.lit("LEFT_OUT"), "_day": day}), "left_out", "_day")
     put(new.audit.withColumn("_day", day), "ingestion_log", "_day")
-    dealt.unpersist()
-    return paths
+    index = new.checked.select("slot", "request_id", F.col("accepted").alias("done"), F.when(~F.col("accepted"), _error_mark()).alias("error"))
+    put(index.repartition("slot").sortWithinPartitions("slot", "request_id"), KNOWN, "slot")
+    return Staged(base, content, attempt, n_rows)
+
+
+def write(result: IngestResult, base: str) -> dict[str, str]:
+    """Appends the batch to the sinks: its rows first, then its line in the manifest, which makes them visible all at once.
+    Read the sinks with ``commits.read``."""
+    staged = stage(result, base)
+    if staged:
+        commits.commit(result.checked.sparkSession, base, staged.content, staged.attempt, staged.n_rows)
+    return {name: f"{base.rstrip('/')}/{name}" for name in SINKS}
 
 
 def requests_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from fablake.operators import commits
 from fablake.plans import ingest as ing
 from fablake.streaming import ingest_stream as strm
 from test_jobs import _custom_registry
@@ -19,7 +20,7 @@ def _erp(key, **extra):
 
 
 def _keys(spark, base, sink, column="request_id"):
-    return sorted(r[0] for r in spark.read.parquet(os.path.join(base, sink)).select(column).collect())
+    return sorted(r[0] for r in commits.read(spark, base, sink).select(column).collect())
 
 
 def test_two_batches_of_a_day_and_a_replay(spark, tmp_dir):
@@ -29,10 +30,10 @@ def test_two_batches_of_a_day_and_a_replay(spark, tmp_dir):
         r = ing.run(spark.createDataFrame(rows, COLUMNS), ing.BATCH_TIME)
         ing.write(r, base)
         r.checked.unpersist()
-    log = spark.read.parquet(f"{base}/ingestion_log")
+    log = commits.read(spark, base, "ingestion_log")
     assert sorted(r.request_key for r in log.collect()) == ["a", "b", "c", "d", "x"]
     assert len(_keys(spark, base, "bronze")) == len(_keys(spark, base, "topics", "key")) == len(_keys(spark, base, "raw_events")) == 4
-    assert log.filter("status = 'FAILED'").count() == spark.read.parquet(f"{base}/quarantine").count() == 1
+    assert log.filter("status = 'FAILED'").count() == commits.read(spark, base, "quarantine").count() == 1
 
 
 def test_late_and_repeated_rows_over_micro_batches(spark, tmp_dir):
@@ -45,7 +46,7 @@ def test_late_and_repeated_rows_over_micro_batches(spark, tmp_dir):
     strm.run_stream(spark, landing, out, os.path.join(tmp_dir, "ckpt-new"))
     for sink in ("ingestion_log", "bronze", "raw_events"):
         assert len(_keys(spark, out, sink)) == 4
-    assert sorted(r.request_key for r in spark.read.parquet(f"{out}/ingestion_log").collect()) == ["a", "b", "c", "late"]
+    assert sorted(r.request_key for r in commits.read(spark, out, "ingestion_log").collect()) == ["a", "b", "c", "late"]
 
 
 def test_each_source_is_curated_by_its_own_mapping(spark):
@@ -94,8 +95,60 @@ def test_a_corrected_delivery_counts_and_left_out_ones_are_audited(spark, tmp_di
         r = ing.run(spark.createDataFrame(rows, COLUMNS), ing.BATCH_TIME)
         ing.write(r, base)
         r.checked.unpersist()
-    rows = lambda sink: sorted((r.request_key, r.status) for r in spark.read.parquet(f"{base}/{sink}").collect())
+    rows = lambda sink: sorted((r.request_key, r.status) for r in commits.read(spark, base, sink).collect())
     assert rows("ingestion_log") == [("a", "SUCCESS"), ("x", "FAILED"), ("x", "SUCCESS"), ("y", "SUCCESS"), ("z", "FAILED")]
     assert rows("left_out") == [(k, "LEFT_OUT") for k in "ayz"]
     assert len(_keys(spark, base, "bronze")) == len(_keys(spark, base, "raw_events")) == 3
     assert _keys(spark, base, "quarantine", "request_key") == ["x", "z"]
+
+
+def _batch(spark, base, rows, step=ing.write):
+    result = ing.run(spark.createDataFrame(rows, COLUMNS), ing.BATCH_TIME)
+    out = step(result, base)
+    result.checked.unpersist()
+    return out
+
+
+def test_batches_of_duplicates_do_not_share_a_digest(spark):
+    def digest(*keys):
+        return commits.content_digest(spark.createDataFrame([(k,) for k in keys], "k string"), "k")[0]
+
+    assert len({digest(*k) for k in ("aa", "cc", "aab", "ccb", "ab", "a", "", "aabb")}) == 8
+    assert digest(*"abca") == digest(*"caab")
+
+
+def test_a_batch_of_duplicates_keeps_another_one(spark, tmp_dir):
+    base = os.path.join(tmp_dir, "twice")
+    _batch(spark, base, [_erp("a"), _erp("a")])
+    _batch(spark, base, [_erp("c"), _erp("c")])
+    for sink in ("bronze", "raw_events", "ingestion_log"):
+        assert len(_keys(spark, base, sink)) == 2
+    assert commits.read(spark, base, "left_out").count() == 2
+
+
+def test_what_a_dead_batch_wrote_is_never_seen(spark, tmp_dir):
+    base = os.path.join(tmp_dir, "dead")
+    _batch(spark, base, [_erp("a")])
+    dead = _batch(spark, base, [_erp("b"), _erp("c"), ("x", "erp", "application/json", b"{")], ing.stage)
+    assert len(_keys(spark, base, "bronze")) == 1 and spark.read.parquet(f"{base}/bronze").count() == 3
+    # the next run cuts otherwise, and the dead batch itself comes again
+    _batch(spark, base, [_erp("c"), _erp("d")])
+    _batch(spark, base, [_erp("b"), _erp("c"), ("x", "erp", "application/json", b"{")])
+    assert _batch(spark, base, [_erp("b"), _erp("c"), ("x", "erp", "application/json", b"{")], ing.stage) is None
+    log = commits.read(spark, base, "ingestion_log").collect()
+    assert sorted(r.request_key for r in log) == ["a", "b", "c", "d", "x"]
+    assert dead.attempt not in {r.batch for r in log} and commits.listed(spark, base).count() == 3
+    topics = strm.read_back_topics(spark, base, os.path.join(tmp_dir, "topics-ckpt"))
+    assert topics.count() == topics.select("key").distinct().count() == 4
+    assert _batch(spark, base, []) and commits.listed(spark, base).count() == 3
+
+
+def test_batches_read_their_own_slots_of_the_index(spark, tmp_dir):
+    base = os.path.join(tmp_dir, "slots")
+    body = json.dumps({"eventType": "E", "equipmentId": "q", "timestamp": "2024-01-01T00:00:00Z"}).encode()
+    for n in range(3):
+        _batch(spark, base, [_erp(f"k{k}") for k in range(5 * n, 5 * n + 8)] + [(f"q{n}", "equipment", "application/json", body)])
+    assert len(_keys(spark, base, "ingestion_log")) == len(set(_keys(spark, base, "ingestion_log"))) == 21
+    plan = ing.known_requests(spark, base, ["equipment-0", "equipment-1"])._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters"):]
+    assert "IN (equipment-0,equipment-1)" in filters[:filters.index("]")] and "error_message" not in plan
