@@ -1070,6 +1070,7 @@ def route_summary(spark, sf_dir):
 # ---------------------------------------------------------------------------
 from fablake.operators import governance as gov  # noqa: E402
 from fablake.registry import category_pairs_frame, sources_frame, streams_frame  # noqa: E402
+from fablake.streaming import heartbeat_stream as hbs  # noqa: E402
 
 POLICIES_SQL = """
 policies(id, asset_class, subject, operation, classification) AS (VALUES
@@ -1355,6 +1356,25 @@ def heartbeat_latest(spark, sf_dir):
     return gov.latest_heartbeat(hb)
 
 
+@register(
+    "heartbeat_stream",
+    """SELECT agent_id, status, created_at, (SELECT max(ts) FROM events) - created_at > INTERVAL 1 DAY AS silent FROM (
+  SELECT 'agent-' || CAST(user_id AS VARCHAR) AS agent_id, event_type AS status, ts AS created_at,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""",
+)
+def heartbeat_stream(spark, sf_dir):
+    """H-1 as a stream: keyed state over four micro-batches of beats out of order, one delivered again later."""
+    base = scratch_path(spark, "heartbeats")
+    beats = read_table(spark, sf_dir, "events").select(
+        F.concat(F.lit("agent-"), F.col("user_id").cast("string")).alias("agent_id"), F.col("event_type").alias("status"),
+        F.col("ts").alias("created_at"), "event_id", F.pmod(F.xxhash64("event_id"), F.lit(3)).cast("int").alias("file"))
+    beats.repartition(3, "file").write.partitionBy("file").parquet(f"{base}/landing/first")
+    hbs.run_heartbeats(spark, f"{base}/landing", f"{base}/states", f"{base}/checkpoint", max_files_per_trigger=1)
+    beats.filter("file = 0").drop("file").coalesce(1).write.parquet(f"{base}/landing/again")
+    hbs.run_heartbeats(spark, f"{base}/landing", f"{base}/states", f"{base}/checkpoint", max_files_per_trigger=1)
+    return hbs.agent_states(spark, f"{base}/states")
+
+
 # ---------------------------------------------------------------------------
 # Document search (Q-1, Q-2, L-4)
 # ---------------------------------------------------------------------------
