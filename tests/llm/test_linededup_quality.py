@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -9,52 +10,90 @@ from .conftest import prose, words
 
 
 def brute_deleted(docs, least):
-    """docs: [(place, text)], in order of place. Every run of lines with words is tried; a line without a word
-    goes with a run that has the least number of words and no line to spare."""
-    runs, gone = {}, {}
+    """docs: [(place, text)], in order of place. place -> words that lie in a window of ``least`` words which also
+    stands at an earlier place that it does not overlap; the first place of a window counts."""
+    first, gone = {}, {}
     for place, text in docs:
-        lines = [(i, x, len(words(x))) for i, x in enumerate(text.split("\n")) if words(x)]
-        for a in range(len(lines)):
-            n = 0
-            for b in range(a, len(lines)):
-                n += lines[b][2]
-                if n >= least:
-                    key = tuple(x for _, x, _ in lines[a: b + 1])
-                    here = (place, lines[a][0])
-                    if runs.setdefault(key, here) < here:
-                        out = gone.setdefault(place, set())
-                        out.update(i for i, _, _ in lines[a: b + 1])
-                        if n - lines[a][2] < least or n - lines[b][2] < least:
-                            out.update(range(lines[a][0], lines[b][0] + 1))
+        w = words(text)
+        for i in range(len(w) - least + 1):
+            at = first.setdefault(tuple(w[i: i + least]), (place, i))
+            if at[0] != place or i >= at[1] + least:
+                gone.setdefault(place, set()).update(range(i, i + least))
     return {p: sorted(g) for p, g in gone.items()}
 
 
+def brute_cut(text, gone):
+    """The text without those words; a run takes the space after its words along, but leaves the line break of
+    a line that it did not begin."""
+    tokens = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text)
+    out, gone = [re.match(r"[\x20\x09-\x0D]*", text).group()], set(gone)
+    for i, token in enumerate(tokens):
+        if i not in gone:
+            out.append(token)
+        elif i - 1 not in gone:
+            end = i
+            while end in gone:
+                end += 1
+            if i and "\n" not in tokens[i - 1] and "\n" in "".join(tokens[i:end]):
+                out.append("\n")
+    return "".join(out)
+
+
+def positions(row):
+    return [i for r in row.deleted for i in range(r.s, r.e)]
+
+
+def check(spark, rows):
+    out = ld.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = brute_deleted(rows, ld.MIN_WORDS)
+    assert {r.doc_id: positions(r) for r in out} == {i: gone.get(i, []) for i, _ in rows}
+    assert {r.doc_id: r.text for r in out} == {i: brute_cut(t, gone[i]) if i in gone else t for i, t in rows}
+    assert {r.doc_id: r.n_words for r in out} == {i: len(words(t)) for i, t in rows}
+    return gone
+
+
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(3)
     pool = [prose(500 + i, rng.choice([3, 8, 20, 30, 70])) for i in range(14)] + [""]
-    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))) for i in range(60)]
-    out = ld.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    gone = brute_deleted(rows, ld.MIN_WORDS)
-    assert any(gone.values())
-    assert {r.doc_id: list(r.deleted) for r in out} == {i: gone.get(i, []) for i, _ in rows}
-    for r in out:
-        lines = dict(rows)[r.doc_id].split("\n")
-        assert r.text == "\n".join(x for k, x in enumerate(lines) if k not in gone.get(r.doc_id, []))
+    assert check(spark, [(i, rng.choice(["", " ", "\n\n"]) + "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))) for i in range(60)])
+
+
+def test_line_dedup_passages_inside_lines(spark):
+    """Passages that begin and end inside lines, wrapped in other ways, of just as many words as count, or one fewer."""
+    rng = random.Random(4)
+    passages = [prose(600 + i, n).split() for i, n in enumerate([49, 50, 51, 64, 120])]
+    rows = []
+    for i in range(80):
+        w = prose(700 + i, rng.randint(0, 40)).split() + rng.choice(passages) + prose(800 + i, rng.randint(0, 40)).split()
+        w += rng.choice(passages)[: rng.randint(30, 120)]
+        rows.append((i, "".join(x + rng.choice([" ", " ", "  ", "\t", "\n", " \n"]) for x in w)))
+    gone = check(spark, rows)
+    assert len(gone) > 40 and any(len(g) == 50 for g in gone.values())
+
+
+def test_line_dedup_few_words_and_periods(spark):
+    """Texts that repeat themselves with every period, and texts of two words, where all fingerprints are hot."""
+    rng = random.Random(5)
+    rows = [(i, "\n".join(["a b c d e f g h i j k l m n o p q r s t u v w x y z".split()[k % p] for k in range(n)]))
+            for i, (p, n) in enumerate([(1, 300), (1, 120), (3, 49), (3, 50), (3, 99), (3, 100), (20, 400), (26, 260), (7, 149)])]
+    rows += [(100 + i, " ".join(rng.choice(["x", "x", "x", "x", "x", "y"]) for _ in range(rng.randint(0, 200)))) for i in range(40)]
+    assert check(spark, rows)
 
 
 def test_line_dedup_odd_rows(odd, odd_rows):
     out = ld.drop_repeated_lines(odd)
-    assert [c for c in out.columns if c not in ("n_lines", "deleted", "text")] == [
-        c for c in odd.columns if c not in ("n_lines", "deleted", "text")]
+    assert [c for c in out.columns if c not in ("n_words", "deleted", "text")] == [
+        c for c in odd.columns if c not in ("n_words", "deleted", "text")]
     rows = out.collect()
     assert len(rows) == len(odd_rows)
-    assert sorted((str(r.doc_id), r.n_lines) for r in rows) == sorted((str(i), 0 if t is None else t.count("\n") + 1) for i, t, _, _ in odd_rows)
+    assert sorted((str(r.doc_id), r.n_words) for r in rows) == sorted((str(i), len(words(t))) for i, t, _, _ in odd_rows)
     by_id = {r.doc_id: r for r in rows if r.doc_id not in (None, 2, 16)}
     assert not by_id[1].deleted and not by_id[13].deleted
     assert by_id[14].text == "" and by_id[7].text is None and by_id[9].text == " \n\t \n"
+    assert positions(by_id[17]) == list(range(50, 300))
     twice = [r for r in rows if r.doc_id == 2]
     assert [r.text for r in twice] == ["", ""]  # a copy of 1; repeated rows fare alike
-    assert all(not r.deleted for r in rows if r.doc_id == 16 and r.text.endswith("more"))
+    assert [r.text for r in rows if r.doc_id == 16 and r.text.endswith("more")] == ["more"]
 
 
 def test_line_dedup_empty_table(empty):

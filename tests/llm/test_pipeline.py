@@ -11,7 +11,7 @@ from fablake.llm import packing as pk
 from fablake.llm import quality as q
 
 from .conftest import brute_components, prose
-from .test_linededup_quality import brute_counts, brute_deleted
+from .test_linededup_quality import brute_counts, brute_cut, brute_deleted
 from .test_packing import plain
 
 ITEM = prose(71, 30)
@@ -45,7 +45,7 @@ def brute(docs):
     gone = brute_deleted([(k, t) for k, (_, t) in enumerate(order)], ld.MIN_WORDS)
     cut = []
     for k, (i, t) in enumerate(order):
-        left = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(k, []))
+        left = brute_cut(t, gone[k]) if k in gone else t
         if k not in gone or left.split():
             cut.append((i, left))
     top = brute_components(cut)
