@@ -30,9 +30,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go.  A document of which no word is left goes, too; one
+    """Later copies of repeated runs of words go, lines with them.  A document of which no word is left goes, too; one
     that had no word before stays.  n_chars follows the text where the column is there."""
-    own = {c: f"_own_{c}" for c in ("n_lines", "deleted") if c in docs.columns}
+    own = {c: f"_own_{c}" for c in ("n_words", "deleted") if c in docs.columns}
     out = linededup.drop_repeated_lines(docs.withColumnsRenamed(own))
     out = out.filter((F.size("deleted") == 0) | F.col("text").rlike(linededup.WORD))
     if "n_chars" in docs.columns:
