@@ -92,7 +92,8 @@ def _reaches(documents: DataFrame, min_words: int, piece: int) -> DataFrame:
     texts = texts.select("doc_id", "text_hash", "hashes", "marks", begins.alias("begins"))
     reach = F.transform("begins", lambda s, k: F.struct(
         s.alias("s"), (F.coalesce(F.get("begins", k + 1), F.size("marks")) - 1).alias("e")))
-    each = texts.select("doc_id", "text_hash", F.explode(F.transform(reach, lambda r: F.struct(
+    # explode_outer: explode would infer a filter on the array's size, pushed below the selects that make it
+    each = texts.select("doc_id", "text_hash", F.explode_outer(F.transform(reach, lambda r: F.struct(
         F.get("marks", r["s"]).alias("mark"), r["s"].alias("s"), r["e"].alias("e"),
         F.xxhash64(F.slice("hashes", r["s"] + 1, r["e"] - r["s"] + min_words)).alias("kind")))).alias("r"))
     return each.select("doc_id", "text_hash", "r.mark", "r.kind", "r.s", "r.e")
@@ -142,12 +143,12 @@ def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS, piece: int =
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     texts = texts.join(asked, texts["doc_id"].eqNullSafe(asked["a_id"]) & (texts["text_hash"] == asked["a_hash"]))
     texts = texts.select("doc_id", "text_hash", "asked", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-    parts = texts.select("doc_id", "text_hash", F.explode(F.transform("asked", lambda a: F.struct(
+    parts = texts.select("doc_id", "text_hash", F.explode_outer(F.transform("asked", lambda a: F.struct(
         a["mark"].alias("mark"), a["s"].alias("s"), F.slice("hashes", a["s"] + 1, a["more"] + min_words).alias("part")))).alias("p"))
     parts = parts.select("doc_id", "text_hash", "p.mark", F.col("p.s").alias("from"), F.col("p.part").alias("part"))
     parts = _hashed(parts, "part", "part", min_words)
     parts = parts.withColumn("part", F.slice("part", 1, F.size("part") - min_words + 1))
-    windows = kept(parts.select("doc_id", "text_hash", "mark", "from", F.posexplode("part").alias("at", "content")).select(
+    windows = kept(parts.select("doc_id", "text_hash", "mark", "from", F.posexplode_outer("part").alias("at", "content")).filter("content is not null").select(
         "doc_id", "text_hash", "mark", "content", (F.col("from") + F.col("at")).alias("s")), "windows")
     found = windows.groupBy("mark", "content").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).filter("n > 1")
     matched = _met(windows, kept(found, "found"), ["mark", "content"], windows.count())
