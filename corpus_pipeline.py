@@ -30,11 +30,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of words go, lines with them.  A document of which no word is left goes, too; one
-    that had no word before stays.  n_chars follows the text where the column is there."""
+    """Later copies of repeated runs of words go, lines with them.  A document that was cut goes where fewer words
+    are left than a run has (the quality rules ask for as many): mostly copies, and the odd words in which near
+    copies differ.  One that was not cut stays, however short.  n_chars follows the text where the column is there."""
     own = {c: f"_own_{c}" for c in ("n_words", "deleted") if c in docs.columns}
     out = linededup.drop_repeated_lines(docs.withColumnsRenamed(own))
-    out = out.filter((F.size("deleted") == 0) | F.col("text").rlike(linededup.WORD))
+    cut = F.aggregate("deleted", F.lit(0), lambda n, r: n + r["e"] - r["s"])
+    out = out.filter((F.size("deleted") == 0) | (F.col("n_words") - cut >= linededup.MIN_WORDS))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("deleted") == 0, F.col("n_chars")).otherwise(
             F.char_length("text").cast(docs.schema["n_chars"].dataType)))
