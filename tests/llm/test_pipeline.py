@@ -46,7 +46,7 @@ def brute(docs):
     cut = []
     for k, (i, t) in enumerate(order):
         left = brute_cut(t, gone[k]) if k in gone else t
-        if k not in gone or left.split():
+        if k not in gone or len(left.split()) >= ld.MIN_WORDS:
             cut.append((i, left))
     top = brute_components(cut)
     cut = [(i, t) for i, t in cut if i is None or top[i] == i]
