@@ -86,9 +86,7 @@ def _reaches(documents: DataFrame, min_words: int, piece: int) -> DataFrame:
     texts = _chained(texts, "marks", "pieces", _steps(min_words - piece + 1), lambda x, y: F.least(x, y))
     texts = texts.withColumn("marks", F.slice("marks", 1, F.size("hashes") - min_words + 1))
     # the windows whose fingerprint is not that of the window before
-    before = F.concat(F.array(F.lit(None).cast("long")), "marks")
-    changed = F.zip_with("marks", before, lambda x, y: ~x.eqNullSafe(y))
-    begins = F.filter(F.transform(changed, lambda c, i: F.when(c, i)), lambda i: i.isNotNull() & (i < F.size("marks")))
+    begins = F.filter(F.sequence(F.lit(0), F.size("marks") - 1), lambda i: ~F.get("marks", i).eqNullSafe(F.get("marks", i - 1)))
     texts = texts.select("doc_id", "text_hash", "hashes", "marks", begins.alias("begins"))
     reach = F.transform("begins", lambda s, k: F.struct(
         s.alias("s"), (F.coalesce(F.get("begins", k + 1), F.size("marks")) - 1).alias("e")))
