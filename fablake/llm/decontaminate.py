@@ -6,20 +6,25 @@ numbers or names has the template it had.
 
 *Windows.*  Both sides have every window of ``WINDOW`` template words, so any common stretch of that
 many words proposes its place, wherever it starts.  Whether an item's first word counts as a name depends on
-what stands before it, so the item's first window is there in both forms.  An item of fewer words is one
-window of all its words, values included, and must stand in the document word by word.
+what stands before it, so the item's first window is there in both forms.  A window without a literal word
+fits any table of numbers and is left out.  An item of fewer words, or of slots only, is known by its first
+``WINDOW`` words, values included, and must stand in the document word by word.
 
 *Stretches.*  Each offset that windows propose lays the item on the document's words.  Inserted or deleted
 words shift the rest, so the stretches (``RUN`` agreeing words or more) of offsets that lie no further apart
-than half the item are also tried together; no word of either side counts twice.  Enough of the item must
+than half the item are also tried together; no word of either side counts twice.  Such sets begin at every
+offset; where ``DENSE`` others precede one within that distance (a text that repeats one template), at one in
+each eighth of the item, so that the work grows with the text and not with its square.  Enough of the item must
 agree, in a short one more and a least number of literal words, and enough of what agrees must be literal.
 
 *Slots.*  Inside stretches of ``WINDOW`` words or more a value of the item must be the same one everywhere, and two names must not
 become one (two numbers or units may): at most ``MAX_MIXED`` of the slots may break this.  Outside, where the
 document may have gone on with its own words, a slot that breaks it just does not agree.
 
+Arrays that are costly to make are unfolded by ``explode_outer`` (none is empty, or the next join drops the null):
+``explode`` would add a test of their size, which the optimizer makes below, from the whole text, once an entry.
 Windows meet in a hash join.  The benchmark's windows and the proposed documents are broadcast only
-where a count shows at most ``BROADCAST_ROWS`` rows; beyond that the same join shuffles.
+where a count shows at most ``BROADCAST_ROWS`` rows and words; beyond that the same join shuffles.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ RUN = 3
 LEAST_COVER = 0.5
 LEAST_LITERAL = 0.5
 MAX_MIXED = 0.25
+DENSE = 8
 SHORT, SHORT_COVER, SHORT_LITERALS = 16, 0.75, 5  # items of fewer words; a verbatim copy always counts
 BROADCAST_ROWS = 1_000_000
 
@@ -87,22 +93,36 @@ def _window_hashes(words: Column, width: int = WINDOW) -> Column:
         lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, F.lit(width))).alias("window")))).otherwise(F.array())
 
 
-def _item_windows(words: Column, template: Column) -> Column:
-    """[{at, window}] of an item; the first window also with a name for its first word."""
-    named = F.concat(F.array(F.lit(NAME)), F.slice(template, 2, WINDOW - 1))
-    first = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(named).alias("window")))
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.transform(words, _bare)).alias("window")))
-    return F.when(F.size(words) < WINDOW, whole).when(_is_slot(template[0]), _window_hashes(template)) \
-        .otherwise(F.concat(_window_hashes(template), first))
+def _verbatim_only(template: Column) -> Column:
+    """Items of few words or of slots only."""
+    return (F.size(template) < WINDOW) | ~F.exists(template, lambda w: ~_is_slot(w))
 
 
-def _near(starts: Column, n: Column) -> Column:
-    """Sorted offsets to lay an item at: each alone, and each with those that follow within half the item."""
+def _item_windows(bare: Column, template: Column) -> Column:
+    """[{at, window}] of an item's windows with a literal word; the first also with a name for its first word."""
+    literal = lambda words: F.exists(words, lambda w: ~_is_slot(w))
+    rest = F.slice(template, 2, WINDOW - 1)
+    named = F.struct(F.lit(0).alias("at"), F.xxhash64(F.concat(F.array(F.lit(NAME)), rest)).alias("window"))
+    first = F.when(~_is_slot(template[0]) & literal(rest), F.array(named)).otherwise(F.array())
+    windows = F.filter(_window_hashes(template), lambda w: literal(F.slice(template, w["at"] + 1, F.lit(WINDOW))))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.slice(bare, 1, WINDOW)).alias("window")))
+    return F.when(_verbatim_only(template), whole).otherwise(F.concat(windows, first))
+
+
+def _near(starts: Column, n: Column, verbatim_only: Column) -> Column:
+    """Sorted offsets to lay an item at: each alone, and sets of those that follow one within half the item."""
     reach = F.greatest(F.lit(WINDOW), F.floor(n / 2).cast("int"))
+    band = lambda s: F.floor(s / F.floor(reach / 4))
     alone = F.transform(starts, lambda s: F.array(s))
-    joined = F.transform(starts, lambda s: F.filter(starts, lambda x: (x >= s) & (x <= s + reach)))
-    return F.when((F.size(starts) == 1) | (n < WINDOW), alone).otherwise(
-        F.concat(alone, F.filter(joined, lambda near: F.size(near) > 1)))
+
+    def joined(s, k):
+        dense = F.coalesce(F.get(starts, k - DENSE) >= s - reach, F.lit(False))
+        # offsets are distinct and sorted: all within reach are among the next reach + 1
+        near = F.filter(F.slice(starts, k + 1, reach + 1), lambda x: x <= s + reach)
+        return F.when(~dense | (band(s) != band(F.get(starts, k - 1))), near).otherwise(F.array())
+
+    return F.when((F.size(starts) == 1) | verbatim_only, alone).otherwise(
+        F.concat(alone, F.filter(F.transform(starts, joined), lambda near: F.size(near) > 1)))
 
 
 def _agreeing(n: Column) -> Column:
@@ -125,13 +145,18 @@ def _agreeing(n: Column) -> Column:
     rows = F.transform(cells, lambda row: F.transform(row, lambda p, i: p.withField("run", in_run(row, i, RUN)).withField("core", in_run(row, i, WINDOW))))
     several = F.size("starts") > 1
     agreeing = F.filter(F.flatten(rows), lambda p: p["run"] | (p["agrees"] & ~several))
-    once = lambda x: F.filter(x, lambda p, k: ~F.exists(
-        F.slice(x, 1, k), lambda q: (q["i"] == p["i"]) | (q["at"] == p["at"])))
-    return F.transform(F.array(agreeing), lambda x: F.when(several, once(x)).otherwise(x))[0]
+    # the first of each word of the item, if it is also the first of its word of the document
+    once = lambda x: F.filter(x["cells"], lambda p, k: (F.array_position(x["i"], p["i"]) == k + 1)
+                              & (F.array_position(x["at"], p["at"]) == k + 1))
+    split = lambda x: F.struct(x.alias("cells"), x["i"].alias("i"), x["at"].alias("at"))
+    parts = F.transform(F.array(agreeing), split)
+    return F.transform(parts, lambda x: F.when(several, once(x)).otherwise(x["cells"]))[0]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """Broadcast if the rows, and the entries ``size`` of their arrays, are few."""
+    total = df.agg(F.sum(F.lit(1) + (F.lit(0) if size is None else size))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_ROWS else df
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -151,37 +176,38 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                          _words(_template(F.col("marked"))).alias("item_template"))
     items = kept(items.filter(F.size("item_words") > 0).withColumn("item", F.xxhash64("item_words")), "items")
 
-    asked = items.select("item", F.size("item_words").alias("n"), F.explode(_item_windows(F.col("item_words"), F.col("item_template"))).alias("w")).select(
-        "item", "n", F.col("w.at").alias("item_at"), F.col("w.window").alias("window"))
-    asked = kept(asked.groupBy("window").agg(F.collect_list(F.struct("item", "item_at", "n")).alias("hits")), "item-windows")
-    # at most WINDOW - 1 lengths of shorter items, mostly none
-    shorter = sorted(r.n for r in items.select(F.size("item_words").alias("n")).filter(F.col("n") < WINDOW).distinct().collect())
+    asked = items.select("item", F.size("item_words").alias("n"), _verbatim_only(F.col("item_template")).alias("verbatim_only"),
+                         F.explode(_item_windows(F.col("item_bare"), F.col("item_template"))).alias("w"))
+    asked = kept(asked.select("item", "n", "verbatim_only", F.col("w.at").alias("item_at"), F.col("w.window").alias("window")), "item-windows")
+    # at most WINDOW lengths of items that are known by their words, mostly none
+    shorter = sorted(r.n for r in items.filter(_verbatim_only(F.col("item_template"))).select(
+        F.least(F.size("item_words"), F.lit(WINDOW)).alias("n")).distinct().collect())
     marked = docs.select("doc_id", "text_hash", _marked(F.col("text")).alias("marked"))
     worded = marked.select("doc_id", "text_hash", _words(_template(F.col("marked"))).alias("template"),
                            *([_words(_bare(F.col("marked"))).alias("bare")] if shorter else []))
     windows = F.concat(_window_hashes(F.col("template")), *[_window_hashes(F.col("bare"), n) for n in shorter])
-    found = worded.select("doc_id", "text_hash", F.explode(windows).alias("w")).select(
+    found = worded.select("doc_id", "text_hash", F.explode_outer(windows).alias("w")).select(
         "doc_id", "text_hash", F.col("w.at").alias("at"), F.col("w.window").alias("window"))
     offsets = found.join(_small(asked), "window").select(
-        "doc_id", "text_hash", "at", F.explode("hits").alias("hit")).select(
-        "doc_id", "text_hash", F.col("hit.item").alias("item"), F.col("hit.n").alias("n"), (F.col("at") - F.col("hit.item_at")).alias("starts_at")).distinct()
-    places = offsets.groupBy("doc_id", "text_hash", "item", "n").agg(F.array_sort(F.collect_set("starts_at")).alias("starts"))
-    places = places.select("doc_id", "text_hash", "item", "n", F.explode(_near(F.col("starts"), F.col("n"))).alias("starts"))
+        "doc_id", "text_hash", "item", "n", "verbatim_only", (F.col("at") - F.col("item_at")).alias("starts_at")).distinct()
+    places = offsets.groupBy("doc_id", "text_hash", "item", "n", "verbatim_only").agg(F.array_sort(F.collect_set("starts_at")).alias("starts"))
+    places = places.select("doc_id", "text_hash", "item", "n", F.explode_outer(_near(F.col("starts"), F.col("n"), F.col("verbatim_only"))).alias("starts"))
     offsets = kept(places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "starts", "n")).alias("tries")), "offsets")
 
     tries = offsets.withColumnsRenamed({"doc_id": "t_id", "text_hash": "t_hash"})
-    texts = docs.join(_small(tries), docs["doc_id"].eqNullSafe(tries["t_id"]) & (docs["text_hash"] == tries["t_hash"]))
+    entries = F.aggregate("tries", F.lit(0).cast("long"), lambda n, t: n + F.size(t["starts"]))
+    texts = docs.join(_small(tries, entries), docs["doc_id"].eqNullSafe(tries["t_id"]) & (docs["text_hash"] == tries["t_hash"]))
     marked = texts.select("doc_id", "text_hash", "tries", _marked(F.col("text")).alias("marked"))
     words = marked.select("doc_id", "text_hash", "tries", _words(_bare(F.col("marked"))).alias("bare"),
                           _words(_template(F.col("marked"))).alias("template"))
     # only the words below the item go on, however many items a long document holds
     first = lambda t: F.greatest(t["starts"][0], F.lit(0))
     below = lambda words, t: F.slice(words, first(t) + 1, F.greatest(F.element_at(t["starts"], -1) + t["n"] - first(t), F.lit(0)))
-    laid = words.select("doc_id", "text_hash", F.explode(F.transform("tries", lambda t: F.struct(
+    laid = words.select("doc_id", "text_hash", F.explode_outer(F.transform("tries", lambda t: F.struct(
         t["item"].alias("item"), t["starts"].alias("starts"), first(t).alias("first"),
         below("bare", t).alias("bare"), below("template", t).alias("template")))).alias("try"))
     laid = laid.select("doc_id", "text_hash", "try.*")
-    laid = laid.join(_small(items), "item")
+    laid = laid.join(_small(items, 3 * F.size("item_words")), "item")
     laid = laid.select("doc_id", "text_hash", "item_id", "item_ids", "starts", F.size("item_words").alias("n_words"),
                        _agreeing(F.size("item_words")).alias("same"))
     # a word that is a slot on one side only is a literal one: it agrees as it stands
@@ -201,6 +227,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         ((F.size("starts") == 1) & (F.size(F.filter("same", lambda p: p["item"] == p["doc"])) == F.col("n_words"))).alias("verbatim"),
         F.size(F.filter("values", lambda p: p["core"])).alias("held"),
         F.size(F.filter("values", lambda p: p["core"] & (parted(p) | merged(p)))).alias("mixed"))
+    # written before the rows are judged: the optimizer would move the test into the join above, where each
+    # array is made anew for every entry of those that use it
+    laid = kept(laid, "laid")
     enough = F.when(F.col("n_words") < SHORT, (F.col("matched") >= SHORT_COVER * F.col("n_words")) & (F.col("literal") >= SHORT_LITERALS)) \
         .otherwise(F.col("matched") >= LEAST_COVER * F.col("n_words"))
     laid = laid.filter(F.col("verbatim") | (

@@ -108,3 +108,20 @@ def test_short_items_need_more_than_half(spark):
             (3, prose(67, 9) + " costs 5 kg in Rome then " + prose(68, 9))]
     items = [(1, " ".join(item)), (2, "it costs 9 kg in Bern then so")]
     assert found(dc.contaminated(*frames(spark, docs, items))) == {(2, 1)}
+
+
+def test_tables_of_numbers_and_repeated_lists_end_and_copies_in_them_are_found(spark):
+    rng = random.Random(8)
+    numbers = [str(rng.randint(0, 9999)) for _ in range(20000)]
+    pairs = " ".join(f"{x} mark" for x in numbers[:5000])
+    listed = " ".join(str(rng.randint(10000, 99999)) for _ in range(40))
+    summed = f"Add up these {' '.join(numbers[:60])} and then say what the sum is to the last digit of all"
+    marks = " ".join(f"{rng.randint(10000, 99999)} mark" for _ in range(20))
+    again = re.sub(r"\d+", lambda m: str(int(m[0]) + 1), summed)
+    zeros = "0 0 0 0 0 0 0 0 0 0 0 0"
+    docs = [(1, " ".join(numbers)), (2, " ".join(numbers[:9000] + [listed] + numbers[9000:])), (3, pairs), (4, " ".join([pairs, marks, pairs])),
+            (5, " ".join([*numbers[:3000], summed, *numbers[3000:6000]])), (6, " ".join([*numbers[60:300], again])), (7, "0 " * 5000), (8, "0 " * 11)]
+    items = [(1, listed), (2, marks), (3, summed), (4, zeros)]
+    out = found(dc.contaminated(*frames(spark, docs, items)))
+    assert {(2, 1), (4, 2), (5, 3), (7, 4)} <= out
+    assert not {d for d, i in out if i in (1, 4)} - {2, 7} and not {d for d, i in out if i == 3} - {5, 6}
