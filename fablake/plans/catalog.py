@@ -125,6 +125,7 @@ def lineage_drift(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Repository and SQL set (A-1..A-5, U-2, L-1..L-3, F-1..F-3, W-4, J-6, K-7, K-8, V-24)
 # ---------------------------------------------------------------------------
+from fablake.operators import pages  # noqa: E402
 from fablake.operators import repository as repo  # noqa: E402
 from fablake.operators.ranking import latest_per_key  # noqa: E402
 
@@ -221,6 +222,19 @@ def page_raw_events(spark, sf_dir):
     return repo.page(fx.raw_events(spark, sf_dir).select(*RAW_COLS), limit=100, offset=100)
 
 
+@register(
+    "page_deep_events",
+    orc.with_fixtures(
+        "SELECT id, source, event_type, s3_key, created_at FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY created_at DESC, id DESC) AS place, "
+        "COUNT(*) OVER () AS n FROM raw_events) WHERE place > n // 2 AND place <= n // 2 + 100"
+    ),
+)
+def page_deep_events(spark, sf_dir):
+    """L-1 from the middle of the table: the page reads the blocks that it covers."""
+    stored = pages.store(fx.raw_events(spark, sf_dir).select(*RAW_COLS), scratch_path(spark, "pages"))
+    return stored.page(limit=100, offset=stored.count() // 2)
+
+
 @register(
     "latest_lots",
     orc.with_fixtures(
