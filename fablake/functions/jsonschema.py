@@ -76,6 +76,18 @@ def kind(v: Column) -> Column:
     )
 
 
+def scalar_kind(v: Column) -> Column:
+    """``kind`` where the rule wants a scalar: one call a value. An object or array found there is walked whole."""
+    return F.substring_index(F.schema_of_variant(v), "<", 1)
+
+
+def is_number_kind(k: Column) -> Column:
+    is_num = F.lit(False)
+    for p in _NUM_PREFIXES:
+        is_num = is_num | k.startswith(p)
+    return is_num
+
+
 def is_type(v: Column, k: Column, t: str, node=None) -> Column:
     if t == "object":
         return k == "OBJECT"
@@ -87,9 +99,7 @@ def is_type(v: Column, k: Column, t: str, node=None) -> Column:
         return k == "BOOLEAN"
     if t == "null":
         return k == "VOID"
-    is_num = F.lit(False)
-    for p in _NUM_PREFIXES:
-        is_num = is_num | k.startswith(p)
+    is_num = node.is_number if node is not None else is_number_kind(k)
     if t == "number":
         return is_num
     if t == "integer":
@@ -125,9 +135,36 @@ def _err(path: str | Column, keyword: str, detail: Column | str | None = None) -
     return F.concat(*parts)
 
 
+# Errors are gathered as one text, each behind a separator: a chain of array expressions grew into a method too long
+# for the JVM to compile.  Keys of a payload may hold any character, so separators in them are written differently.
+_SEP, _ESC = "\x01", "\x02"
+
+
 def _one(cond: Column, path: Column, keyword: str, detail: Column | str | None = None) -> Column:
-    """Array with one error when ``cond`` is true, else empty."""
-    return F.when(cond, F.array(_err(path, keyword, detail))).otherwise(F.array().cast("array<string>"))
+    """One error when ``cond`` is true, else none."""
+    return F.when(cond, F.concat(F.lit(_SEP), _err(path, keyword, detail))).otherwise(_empty())
+
+
+def _escaped(key: Column) -> Column:
+    return F.replace(F.replace(key, F.lit(_ESC), F.lit(_ESC + "b")), F.lit(_SEP), F.lit(_ESC + "a"))
+
+
+def _listed(text: Column, escapes: bool) -> Column:
+    """ARRAY<STRING> of the gathered errors."""
+    errs = F.split(F.substr(text, F.lit(2)), _SEP)
+    if escapes:
+        errs = F.transform(errs, lambda e: F.replace(F.replace(e, F.lit(_ESC + "a"), F.lit(_SEP)), F.lit(_ESC + "b"), F.lit(_ESC)))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(errs)
+
+
+def _names_keys(schema: Any) -> bool:
+    """Whether errors of the rule may name keys that the rule does not list."""
+    if isinstance(schema, list):
+        return any(map(_names_keys, schema))
+    if not isinstance(schema, dict):
+        return False
+    return bool(isinstance(schema.get("additionalProperties"), dict) and schema["additionalProperties"]) or any(
+        map(_names_keys, schema.values()))
 
 
 def _child(v: Column, key: str) -> Column:
@@ -160,8 +197,8 @@ def _scalar_eq_any(node, values: list[Any]) -> Column:
 class _Node:
     """One value position: its variant, and lazily its kind / string / number / map / array."""
 
-    def __init__(self, plan: "RulePlan | None", v: Column, tag: str):
-        self.plan, self.v, self.tag = plan, v, tag
+    def __init__(self, plan: "RulePlan | None", v: Column, tag: str, scalar: bool = False):
+        self.plan, self.v, self.tag, self.scalar = plan, v, tag, scalar
         self._cache: dict[str, Column] = {}
 
     def _derive(self, what: str, expr: Column) -> Column:
@@ -171,7 +208,12 @@ class _Node:
 
     @property
     def kind(self) -> Column:
-        return self._derive("k", kind(self.v))
+        return self._derive("k", scalar_kind(self.v) if self.scalar else kind(self.v))
+
+    @property
+    def is_number(self) -> Column:
+        # asked for by up to three checks, and seven tests long; over the kind itself, as probes of one stage do not see each other
+        return self._derive("n", is_number_kind(scalar_kind(self.v) if self.scalar else kind(self.v)))
 
     @property
     def string(self) -> Column:
@@ -209,7 +251,9 @@ class RulePlan:
         self.names: list[str] = []
         self._n = 0
         root = _Node(self, self.probe_a("root", payload), "root")
-        self.errors = F.array_sort(_errors(schema, root, "", self, "$"))
+        self.text = _errors(schema, root, "", self, "$")
+        # sort_array, not array_sort: the latter has a lambda, and nothing below one is compiled
+        self.errors = F.sort_array(_listed(F.col(f"_r{self._pid}_text"), _names_keys(schema)))
 
     def _name(self, base: str) -> str:
         self._n += 1
@@ -228,17 +272,24 @@ class RulePlan:
         return F.col(name)
 
     def apply(self, df, out: str = "errors", extra: dict[str, Column] | None = None):
-        """Three projections: stage A, stage B, then the kept columns + errors (+ extra)."""
+        """Four projections: stage A, stage B, the errors as one text, then the kept columns + errors (+ extra)."""
         keep = [c for c in df.columns]
         staged = df.select("*", *self.stage_a)
         if self.stage_b:
             staged = staged.select("*", *self.stage_b)
         extra_cols = [c.alias(n) for n, c in (extra or {}).items()]
+        staged = staged.select(*(staged.columns if extra else keep), self.text.alias(f"_r{self._pid}_text"))
         return staged.select(*keep, self.errors.alias(out), *extra_cols)
 
 
+def _wants_scalar(schema: dict[str, Any] | bool | None) -> bool:
+    types = schema.get("type") if isinstance(schema, dict) else None
+    types = types if isinstance(types, list) else [types]
+    return all(t in ("string", "number", "integer", "boolean", "null") for t in types)
+
+
 def _empty() -> Column:
-    return F.array().cast("array<string>")
+    return F.lit("")
 
 
 def _child_path(jpath: str, key: str) -> str:
@@ -247,7 +298,7 @@ def _child_path(jpath: str, key: str) -> str:
 
 def _errors(schema: dict[str, Any] | bool, node: _Node, path: str | Column, plan: RulePlan | None,
             jpath: str | None) -> Column:
-    """Errors of ``node`` against ``schema``. ``plan``/``jpath`` are None inside lambdas."""
+    """Errors of ``node`` against ``schema`` as one text. ``plan``/``jpath`` are None inside lambdas."""
     if schema is True or schema == {}:
         return _empty()
     if schema is False:
@@ -300,8 +351,8 @@ def _errors(schema: dict[str, Any] | bool, node: _Node, path: str | Column, plan
             parts.append(_one(is_arr & (F.size(arr) < schema["minItems"]), path, "minItems"))
         if "items" in schema:
             item_schema = schema["items"]
-            per_item = F.flatten(
-                F.transform(arr, lambda el, i: _errors(item_schema, _Node(None, el, ""), _lit_path(path, i), None, None))
+            per_item = F.array_join(
+                F.transform(arr, lambda el, i: _errors(item_schema, _Node(None, el, ""), _lit_path(path, i), None, None)), ""
             )
             parts.append(F.when(is_arr, per_item).otherwise(_empty()))
 
@@ -316,7 +367,7 @@ def _errors(schema: dict[str, Any] | bool, node: _Node, path: str | Column, plan
                 if plan is not None and jpath is not None:
                     cp = _child_path(jpath, key)
                     cv = plan.probe_a("v", F.try_variant_get(plan_root(plan), cp, "variant"))
-                    children[key] = _Node(plan, cv, f"n{len(plan.names)}")
+                    children[key] = _Node(plan, cv, f"n{len(plan.names)}", _wants_scalar(props.get(key)))
                 else:
                     children[key] = _Node(None, _child(v, key), "")
             return children[key]
@@ -332,28 +383,30 @@ def _errors(schema: dict[str, Any] | bool, node: _Node, path: str | Column, plan
             parts.append(F.when(is_obj & c.v.isNotNull(), sub_err).otherwise(_empty()))
         if "additionalProperties" in schema:
             ap = schema["additionalProperties"]
-            known = F.array(*[F.lit(p) for p in props]) if props else _empty()
-            extra = F.map_filter(node.obj, lambda key, _val: ~F.array_contains(known, key))
+            known = F.array(*[F.lit(p) for p in props]) if props else F.array().cast("array<string>")
             if ap is False:
-                parts.append(_one(is_obj & (F.size(extra) > 0), path, "additionalProperties"))
+                # compiled, where map_filter is not
+                extra_keys = F.array_except(F.map_keys(node.obj), known)
+                parts.append(_one(is_obj & (F.size(extra_keys) > 0), path, "additionalProperties"))
             elif isinstance(ap, dict) and ap:
-                per_extra = F.flatten(
+                extra = F.map_filter(node.obj, lambda key, _val: ~F.array_contains(known, key))
+                per_extra = F.array_join(
                     F.transform(
                         F.map_entries(extra),
-                        lambda e: _errors(ap, _Node(None, e["value"], ""), _lit_path(path, e["key"]), None, None),
-                    )
+                        lambda e: _errors(ap, _Node(None, e["value"], ""), _lit_path(path, _escaped(e["key"])), None, None),
+                    ), ""
                 )
                 parts.append(F.when(is_obj, per_extra).otherwise(_empty()))
 
     if "oneOf" in schema:
         n_ok = F.lit(0)
         for branch in schema["oneOf"]:
-            n_ok = n_ok + F.when(F.size(_errors(branch, node, path, plan, jpath)) == 0, 1).otherwise(0)
+            n_ok = n_ok + F.when(_errors(branch, node, path, plan, jpath) == "", 1).otherwise(0)
         parts.append(_one(n_ok != 1, path, "oneOf"))
     for branch in schema.get("allOf", []):
         parts.append(_errors(branch, node, path, plan, jpath))
     if "if" in schema:
-        cond_ok = F.size(_errors(schema["if"], node, path, plan, jpath)) == 0
+        cond_ok = _errors(schema["if"], node, path, plan, jpath) == ""
         if "then" in schema:
             parts.append(F.when(cond_ok, _errors(schema["then"], node, path, plan, jpath)).otherwise(_empty()))
         if "else" in schema:
@@ -370,7 +423,7 @@ def plan_root(plan: RulePlan) -> Column:
 
 def errors(schema: dict[str, Any] | bool, v: Column, path: Column | None = None) -> Column:
     """Inline form (no staging): ARRAY<STRING> of errors of VARIANT ``v``."""
-    return _errors(schema, _Node(None, v, ""), "" if path is None else path, None, None)
+    return _listed(_errors(schema, _Node(None, v, ""), "" if path is None else path, None, None), _names_keys(schema))
 
 
 _PLAN_CACHE: dict[tuple[str, str], RulePlan] = {}
