@@ -27,6 +27,7 @@ Paths are dotted (``file.rows.3.1``); the root is ``<root>``.
 
 from __future__ import annotations
 
+import itertools
 from typing import Any
 
 from pyspark.sql import Column
@@ -62,15 +63,15 @@ def as_array(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def kind(v: Column) -> Column:
+def kind(v: Column, obj: Column | None = None) -> Column:
     """OBJECT / ARRAY / STRING / BIGINT / DECIMAL(p,s) / DOUBLE / BOOLEAN / VOID.
 
     Objects and arrays are told apart by a cast, so ``schema_of_variant``
-    (which walks the whole value) only runs on scalars.
+    (which walks the whole value) only runs on scalars. ``obj`` is that cast, where it is a column already.
     """
     return (
         F.when(v.isNull(), F.lit(None).cast("string"))
-        .when(as_object(v).isNotNull(), F.lit("OBJECT"))
+        .when((as_object(v) if obj is None else obj).isNotNull(), F.lit("OBJECT"))
         .when(as_array(v).isNotNull(), F.lit("ARRAY"))
         .otherwise(F.schema_of_variant(v))
     )
@@ -208,7 +209,15 @@ class _Node:
 
     @property
     def kind(self) -> Column:
-        return self._derive("k", scalar_kind(self.v) if self.scalar else kind(self.v))
+        return self._derive("k", scalar_kind(self.v) if self.scalar else kind(self.v, self._cache.get("o")))
+
+    @property
+    def there(self) -> Column:
+        return self._derive("h", self.v.isNotNull())
+
+    @property
+    def n_keys(self) -> Column:
+        return self._derive("c", F.size(self.obj))
 
     @property
     def is_number(self) -> Column:
@@ -235,22 +244,27 @@ class _Node:
 class RulePlan:
     """Compiled rule: two projection stages of probes, then the error array.
 
-    Stage A extracts every statically addressed value from the payload once;
-    stage B derives kinds / strings / numbers from them. The error expression
+    Stage A opens the payload as a map, once for all its keys, and extracts the
+    statically addressed values below them; stage B derives presence / kinds /
+    strings / numbers, so that no variant is carried on to the errors. The error expression
     only references these columns, which keeps the generated code small and
     evaluates each extraction once per row. Values inside arrays and extra
     object keys are checked inline in higher-order functions.
     """
 
-    _ids = __import__("itertools").count(1)
+    _ids = itertools.count(1)
 
     def __init__(self, schema: dict[str, Any], payload: Column):
         self._pid = next(RulePlan._ids)
+        self.payload = payload
         self.stage_a: list[Column] = []
         self.stage_b: list[Column] = []
         self.names: list[str] = []
+        self.nodes = itertools.count(1)
         self._n = 0
-        root = _Node(self, self.probe_a("root", payload), "root")
+        self.keys = self.probe_a("keys", as_object(payload))
+        root = _Node(self, payload, "root")
+        root._cache["o"] = self.keys
         self.text = _errors(schema, root, "", self, "$")
         # sort_array, not array_sort: the latter has a lambda, and nothing below one is compiled
         self.errors = F.sort_array(_listed(F.col(f"_r{self._pid}_text"), _names_keys(schema)))
@@ -302,7 +316,7 @@ def _errors(schema: dict[str, Any] | bool, node: _Node, path: str | Column, plan
     if schema is True or schema == {}:
         return _empty()
     if schema is False:
-        return _one(node.v.isNotNull(), path, "false")
+        return _one(node.there, path, "false")
     unknown = set(schema) - _KNOWN
     if unknown:
         raise RuleError(f"unsupported keyword(s): {sorted(unknown)}")
@@ -365,26 +379,31 @@ def _errors(schema: dict[str, Any] | bool, node: _Node, path: str | Column, plan
         def child(key: str) -> _Node:
             if key not in children:
                 if plan is not None and jpath is not None:
-                    cp = _child_path(jpath, key)
-                    cv = plan.probe_a("v", F.try_variant_get(plan_root(plan), cp, "variant"))
-                    children[key] = _Node(plan, cv, f"n{len(plan.names)}", _wants_scalar(props.get(key)))
+                    # the root's own keys are in its map; a path walks the payload's fields anew
+                    cv = F.try_element_at(plan.keys, F.lit(key)) if jpath == "$" else plan.probe_a(
+                        "v", F.try_variant_get(plan.payload, _child_path(jpath, key), "variant"))
+                    children[key] = _Node(plan, cv, f"n{next(plan.nodes)}", _wants_scalar(props.get(key)))
                 else:
                     children[key] = _Node(None, _child(v, key), "")
             return children[key]
 
         if "minProperties" in schema:
-            parts.append(_one(is_obj & (F.size(F.map_keys(node.obj)) < schema["minProperties"]), path, "minProperties"))
+            parts.append(_one(is_obj & (node.n_keys < schema["minProperties"]), path, "minProperties"))
         for key in schema.get("required", []):
-            parts.append(_one(is_obj & child(key).v.isNull(), path, "required", key))
+            parts.append(_one(is_obj & ~child(key).there, path, "required", key))
         for key, sub in props.items():
             c = child(key)
             sub_jpath = _child_path(jpath, key) if jpath is not None else None
             sub_err = _errors(sub, c, _lit_path(path, key), plan if sub_jpath else None, sub_jpath)
-            parts.append(F.when(is_obj & c.v.isNotNull(), sub_err).otherwise(_empty()))
+            parts.append(F.when(is_obj & c.there, sub_err).otherwise(_empty()))
         if "additionalProperties" in schema:
             ap = schema["additionalProperties"]
             known = F.array(*[F.lit(p) for p in props]) if props else F.array().cast("array<string>")
-            if ap is False:
+            if ap is False and jpath == "$":
+                # a key is there or not, also with a null: more keys than listed ones found
+                found = [child(p).there.cast("int") for p in props]
+                parts.append(_one(is_obj & (node.n_keys > sum(found, F.lit(0))), path, "additionalProperties"))
+            elif ap is False:
                 # compiled, where map_filter is not
                 extra_keys = F.array_except(F.map_keys(node.obj), known)
                 parts.append(_one(is_obj & (F.size(extra_keys) > 0), path, "additionalProperties"))
@@ -417,10 +436,6 @@ def _errors(schema: dict[str, Any] | bool, node: _Node, path: str | Column, plan
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def plan_root(plan: RulePlan) -> Column:
-    return F.col(plan.names[0])
-
-
 def errors(schema: dict[str, Any] | bool, v: Column, path: Column | None = None) -> Column:
     """Inline form (no staging): ARRAY<STRING> of errors of VARIANT ``v``."""
     return _listed(_errors(schema, _Node(None, v, ""), "" if path is None else path, None, None), _names_keys(schema))
