@@ -7,10 +7,10 @@ its boundary records (``pieces``) say where each piece lies in the document and
 the last sequence can be short.
 
 Ids are those of ``tokenizers`` for the whole text.  The tokenizer drops white space and no token spans
-it, so texts are cut at spaces and line feeds, and words that were met lately are looked up.  A new word
+it, so texts are cut at spaces and line feeds, and words that were met before are looked up.  A new word
 of plain letters, digits and marks is cut into parts as the tokenizer cuts it, and its model codes parts
-that were not met lately; any other word goes through the whole tokenizer.  Both tables are bounded
-(``CACHE_WORDS``, ``CACHE_PARTS``, twice each; nothing longer than ``LONG_WORD`` is kept).
+that were not met before; any other word goes through the whole tokenizer.  Both tables are bounded
+(``CACHE_WORDS``, ``CACHE_PARTS``; nothing longer than ``LONG_WORD`` is kept).
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ from fablake.llm.prefix import with_offsets
 LENGTH = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS, CACHE_PARTS, LONG_WORD = 150_000, 250_000, 100
+CACHE_WORDS, CACHE_PARTS, LONG_WORD = 600_000, 150_000, 100
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: Texts and ids given to Spark at a time.
 BATCH_ROWS, BATCH_IDS = 2_000, 1 << 20
 IDS = "doc_id long, part int, local long, n long, ids binary"
@@ -55,22 +57,26 @@ def _byte_letters() -> list[str]:
 _LETTERS = _byte_letters()
 
 
-class _Recent:
-    """A table of at most 2 * ``size`` entries; those not asked for lately go first."""
+class _Recent(dict):
+    """Ids of words met lately, coded on first use, ``size`` at most.  A full table is emptied; an eighth, the words
+    that it met first, stays in ``old``: most frequent words are among them."""
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+    def __init__(self, size: int, code: Callable[[str], bytes]):
+        super().__init__()
+        self.size, self.code, self.old = size, code, {}
 
-    def get(self, key: str) -> bytes | None:
-        found = self.old.get(key)
-        if found is not None:
-            self.put(key, found)
-        return found
+    @property
+    def new(self) -> dict[str, bytes]:
+        return self
 
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.new) >= self.size:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word) or self.code(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.size:
+                self.old = dict(islice(self.items(), self.size // 8))
+                self.clear()
+            self[word] = found
+        return found
 
 
 class WordIds:
@@ -81,35 +87,29 @@ class WordIds:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
-        self._words, self._parts = _Recent(CACHE_WORDS), _Recent(CACHE_PARTS)
+        self._words, self._parts = _Recent(CACHE_WORDS, self._word), _Recent(CACHE_PARTS, self._code)
+
+    def _code(self, part: str) -> bytes:
+        letters = part if part.isascii() else "".join([_LETTERS[b] for b in part.encode()])
+        ids = [t.id for t in self._model.tokenize(letters)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _part(self, part: str) -> bytes:
-        found = self._parts.new.get(part) or self._parts.get(part)
-        if found is None:
-            letters = part if part.isascii() else "".join([_LETTERS[b] for b in part.encode()])
-            ids = [t.id for t in self._model.tokenize(letters)]
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(part) <= LONG_WORD:
-                self._parts.put(part, found)
-        return found
+        """A part has the ids of the word that is written like it."""
+        return self._words.get(part) or self._parts[part]
 
     def _word(self, word: str) -> bytes:
-        found = self._words.get(word)
-        if found is None:
-            if _PLAIN.fullmatch(word) and "<|" not in word:
-                found = b"".join([self._part(p) for p in _CUT_WORD.findall(word.lower())])
-            else:  # special tokens, control characters, other scripts, nothing at all
-                found = np.asarray(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(word) <= LONG_WORD:
-                self._words.put(word, found)
-        return found
+        if not _PLAIN.fullmatch(word) or "<|" in word:  # special tokens, control characters, other scripts, nothing at all
+            return np.asarray(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        lower = word.lower()
+        if lower.isalpha():
+            return self._code(word) if lower == word else self._part(lower)
+        if lower[:-1].isalpha():  # letters, then one mark or digit
+            return self._part(lower[:-1]) + self._part(lower[-1])
+        return b"".join([self._part(p) for p in _CUT_WORD.findall(lower)])
 
     def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        out = list(map(self._words.new.get, words))
-        if None in out:
-            out = [self._word(w) if c is None else c for w, c in zip(words, out)]
-        return b"".join(out)
+        return b"".join(map(self._words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def _tokenize(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

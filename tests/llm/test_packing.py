@@ -48,6 +48,14 @@ def test_tables_stay_bounded(tokenizer, monkeypatch):
         assert len(coder._words.new) <= 5 and len(coder._words.old) <= 5 and len(coder._parts.new) + len(coder._parts.old) <= 8
 
 
+def test_a_word_is_held_and_coded_once(tokenizer):
+    """op8: a plain word is kept in one table only, and a part that is written like a word met before is not coded again."""
+    coder = pk.WordIds(PATH)
+    text = "stem stone stem. Stone stone5"
+    assert np.frombuffer(coder.ids(text), "<u4").tolist() == plain(tokenizer, text)
+    assert set(coder._parts.new) == {".", "5"} and set(coder._words.new) == set(text.split(" "))
+
+
 def test_every_letter_of_the_plain_range(tokenizer):
     coder = pk.WordIds(PATH)
     for c in map(chr, range(1, 0x250)):
