@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fablake.llm import packing as pk
@@ -56,6 +57,54 @@ def test_a_word_is_held_and_coded_once(tokenizer):
     assert set(coder._parts.new) == {".", "5"} and set(coder._words.new) == set(text.split(" "))
 
 
+def coded_texts(coder, texts):
+    """Ids of each text without the end id, coded in chunks."""
+    out = []
+    for chunk in pk._chunks(pa.array(texts, pa.large_string())):
+        ids, ends = coder.ids_of(chunk)
+        out += [part.tolist() for part in np.split(ids, ends[:-1])]
+    assert all(x[-1] == pk.END for x in out)
+    return [x[:-1] for x in out]
+
+
+def test_chunks_equal_whole_text(tokenizer, monkeypatch):
+    """op8: texts coded together, their words cut and numbered by Arrow, have the ids of the whole tokenizer."""
+    rng = random.Random(2)
+    texts = [*TEXTS, None, "a, b.", "a,. b", "5, 6.5 7. .a ,b , . x", "it's, 's. '. _, A.", "<|endoftext|>, x."]
+    for chars in ("ab cd\n é́  'st1!😀\tZ̀İΣσ,.", "abÉé1,. \n", "abÉé1,. !'_<|-s\n"):
+        texts += ["".join(rng.choice(chars) for _ in range(rng.randint(0, 80))) for _ in range(700)]
+    want = [plain(tokenizer, t) for t in texts]
+    for size, words in ((pk.CHUNK_BYTES, pk.CACHE_WORDS), (200, 7)):
+        monkeypatch.setattr(pk, "CHUNK_BYTES", size)
+        monkeypatch.setattr(pk, "CACHE_WORDS", words)
+        coder = pk.WordIds(PATH)
+        assert coded_texts(coder, texts) == want
+        assert len(coder._words.new) + len(coder._words.old) <= words
+
+
+def test_a_word_is_one_however_it_is_written(tokenizer):
+    """op8: capitals and the mark behind a word make no other word of it."""
+    coder = pk.WordIds(PATH)
+    texts = ["Stem, stem. STEM", "Élan. élan,"]
+    assert coded_texts(coder, texts) == [plain(tokenizer, t) for t in texts]
+    assert set(coder._words.new) == {"stem", "élan", ",", ".", ""}
+
+
+def test_pieces_are_cut_by_expressions_and_texts_come_in_small_batches(spark, odd, monkeypatch):
+    """pipeline, op8: one pass of Python, a bounded number of texts at a time, and the session's setting is as it was."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, write = spark.conf.get(key), [], pk.kept
+    monkeypatch.setattr(pk, "kept", lambda df, name: (seen.append(int(spark.conf.get(key))), write(df, name))[1])
+    assert "mapinarrow" not in pk.packed(odd)._jdf.queryExecution().toString().lower()
+    assert seen == [pk.READ_ROWS] and spark.conf.get(key) == before
+
+
+def test_a_long_document_is_cut(spark, tokenizer):
+    text = "\n".join(prose(900 + i, 50) for i in range(400))
+    check_pieces(pk.pieces(spark.createDataFrame([(1, text), (2, None), (None, "x")], "doc_id long, text string"), 16).collect(),
+                 [(1, text), (2, None), (None, "x")], tokenizer, 16)
+
+
 def test_every_letter_of_the_plain_range(tokenizer):
     coder = pk.WordIds(PATH)
     for c in map(chr, range(1, 0x250)):
